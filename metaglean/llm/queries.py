@@ -27,6 +27,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, tokenizer_path(spark)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
@@ -38,4 +46,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import decontaminate
+
+    return {"op9_decontaminate": decontaminate.ORACLE}
