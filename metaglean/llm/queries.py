@@ -20,6 +20,13 @@ def tokenizer_path(spark: SparkSession) -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality
+
+    out = quality(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -46,6 +53,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate
+    from . import decontaminate, quality_rules
 
-    return {"op9_decontaminate": decontaminate.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
