@@ -27,6 +27,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import joined, scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.expr(f"cast(size(filter(base_spans, x -> x.k = {k})) AS bigint)").alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))]
+    return out.select("doc_id", *n, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
