@@ -1,6 +1,10 @@
 """Corpus pipeline: quality rules, near-dedup, decontamination, secret scans, BPE.
 
-Each stage works on all rows that its predecessor kept.
+Each stage works on all rows that its predecessor kept, and the written result
+of a stage is the input of the next.  Stages that filter keep or drop whole
+documents by their ids (rows of one id share one verdict: they stay only if the
+verdict of all of them is to stay); the secret stage replaces secrets in the
+texts; the last one adds token counts and digests.
 """
 
 from __future__ import annotations
@@ -9,18 +13,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaglean.llm.bpe import digests
-from metaglean.llm.common import stage
+from metaglean.llm.common import fresh_name, stage, table
+from metaglean.llm.decontaminate import contamination
 from metaglean.llm.near_dedup import near_duplicates
+from metaglean.llm.quality_rules import judge, measure, references
 from metaglean.llm.queries import tokenizer_path
+from metaglean.llm.secret_scan import redact
 
 #: SQL cannot express the BPE stage; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
+def _same(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*(F.col(f"`{c}`") for c in columns))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents whose id is not in the column doc_id of ``gone``."""
+    ids = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["gone_id"]), "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the divergence rules reject go."""
+    m = fresh_name(docs.columns, "measures")
+    measured = stage(measure(docs, into=m), "measured")
+    return _same(judge(measured, references(measured, m=m), m).where("kept"), docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest id."""
-    verdicts = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(verdicts, docs["doc_id"].eqNullSafe(verdicts["doc_id"]), "left_semi")
+    """Of each group of near duplicates the document with the smallest id stays, once."""
+    gone = near_duplicates(docs).where("not kept")
+    return _same(_without(docs, gone).dropDuplicates(["doc_id", "text"]), docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold enough benchmark windows go."""
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced; n_chars follows."""
+    out = redact(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
+    return _same(out, docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,12 +65,12 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return digests(docs, tokenizer_path(spark))
 
 
-STAGES = [("near_dedup", near_dedup), ("encode", encode)]
+STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("secret_scan", secrets), ("bpe", encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, f in STAGES[:-1]:
+    docs = table(spark, sf_dir, "documents")
+    for name, f in STAGES:
         docs = stage(f(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return docs

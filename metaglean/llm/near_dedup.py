@@ -163,11 +163,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
             ids_a = batch.column(0).to_pylist()
             da, oa = string_bytes(batch.column(2))
             db, ob = string_bytes(batch.column(3))
-            sets_b = [x for _, _, part, offs in chunks(db, ob) for x in shingle_sets(part, offs, shingle)]
-            for i, a in enumerate(ids_a):
+            sets_b = (x for _, _, part, offs in chunks(db, ob) for x in shingle_sets(part, offs, shingle))
+            for i, (a, y) in enumerate(zip(ids_a, sets_b)):
                 if a not in known:
                     known = {a: next(shingle_sets(da[oa[i] : oa[i + 1]], np.array([0, oa[i + 1] - oa[i]]), shingle))}
-                x, y = known[a], sets_b[i]
+                x = known[a]
                 common = len(np.intersect1d(x, y, True))
                 keep.append(100 * common >= 80 * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))

@@ -10,7 +10,7 @@ import pyarrow as pa
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _POW: dict[int, np.ndarray] = {}
 
 #: A-Z to a-z, all other bytes as they are.
