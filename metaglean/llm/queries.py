@@ -35,6 +35,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    out = round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digests
 
@@ -61,6 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, quality_rules
+    from . import decontaminate, quality_rules, warc
 
-    return {"op1_quality_rules": quality_rules.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    return {"op1_quality_rules": quality_rules.ORACLE, "op6_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
