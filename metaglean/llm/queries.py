@@ -56,6 +56,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(docs, tokenizer_path(spark)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import joined, scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = [F.expr(f"cast(size(filter(spans, x -> x.kind = {k})) AS bigint)").alias(f"n_{name}") for k, name in enumerate(("email", "ip", "card", "phone"))]
+    return out.select("doc_id", *n, F.sha2(joined("spans", 4), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
