@@ -27,6 +27,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "base_failed", "kept")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import without_earlier
+
+    out = without_earlier(table(spark, sf_dir, "documents"), digest=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import main_text
 
