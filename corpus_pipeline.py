@@ -38,7 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the divergence rules reject go."""
     m = fresh_name(docs.columns, "measures")
     measured = stage(measure(docs, into=m), "measured")
-    return _same(judge(measured, references(measured, m=m), m).where("kept"), docs.columns)
+    return _same(judge(measured, references(measured, m=m), m, m).where(f"{m}kept"), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

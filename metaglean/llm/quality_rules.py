@@ -57,7 +57,8 @@ def _repeat_words(words: str) -> str:
 
 
 def measure(df: DataFrame, text_col: str = "text", into: str = "m") -> DataFrame:
-    """``df`` with a struct of counts and histograms of each text."""
+    """``df`` with a struct of counts and histograms of each text; a column of that name is replaced."""
+    df = df.drop(into)
     t = fresh_name(df.columns, "t_")
     d = df.withColumn(t, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     rest, left = t, []
@@ -110,8 +111,8 @@ def _term(a: str, b: str) -> str:
     return f"(CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0D END + CASE WHEN {b} > 0 THEN {b} * log2(2 * {b} / ({a} + {b})) ELSE 0D END) / 2"
 
 
-def judge(measured: DataFrame, refs: list[dict], m: str = "m") -> DataFrame:
-    """``measured`` with char_distance, word_distance, base_failed and kept."""
+def judge(measured: DataFrame, refs: list[dict], m: str = "m", prefix: str = "") -> DataFrame:
+    """``measured`` with char_distance, word_distance, base_failed and kept, each after ``prefix``."""
     given = "from_json('" + json.dumps(refs, ensure_ascii=True).replace("\\", "\\\\") + "', 'array<struct<lang:string,chars:array<double>,words:map<string,double>>>')"
     add = "0D, (s, x) -> s + x"
     n_chars = f"aggregate({m}.chars, 0L, (s, x) -> s + x)"
@@ -122,12 +123,12 @@ def judge(measured: DataFrame, refs: list[dict], m: str = "m") -> DataFrame:
     absent = f"0.5D * (1D - aggregate(transform({m}.hist.words, w -> {q}), {add}))"
     by_word = f"transform({given}, r -> aggregate({terms}, {add}) + {absent})"
     far = lambda n, by, least: f"CASE WHEN {n} >= {least} THEN {_let(n, 'n', f'sqrt(greatest(0D, array_min({by})))')} END"
-    d = measured.withColumn("char_distance", F.expr(far(n_chars, by_char, MIN_CHARS)) if refs else F.lit(None).cast("double"))
-    d = d.withColumn("word_distance", F.expr(far(n_common, by_word, MIN_COMMON)) if refs else F.lit(None).cast("double"))
+    d = measured.withColumn(f"{prefix}char_distance", F.expr(far(n_chars, by_char, MIN_CHARS)) if refs else F.lit(None).cast("double"))
+    d = d.withColumn(f"{prefix}word_distance", F.expr(far(n_common, by_word, MIN_COMMON)) if refs else F.lit(None).cast("double"))
     base = (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
-    odd_chars = F.coalesce(F.col("char_distance") > F.expr(f"{CHAR_LIMIT} + {CHAR_SLACK} / sqrt({n_chars})"), F.lit(False))
-    odd_words = F.coalesce(F.col("word_distance") > F.expr(f"{WORD_LIMIT} + {WORD_SLACK} / sqrt({n_common})"), F.lit(False))
-    return d.withColumn("base_failed", base).withColumn("kept", ~base & ~odd_chars & ~odd_words)
+    odd_chars = F.coalesce(F.col(f"{prefix}char_distance") > F.expr(f"{CHAR_LIMIT} + {CHAR_SLACK} / sqrt({n_chars})"), F.lit(False))
+    odd_words = F.coalesce(F.col(f"{prefix}word_distance") > F.expr(f"{WORD_LIMIT} + {WORD_SLACK} / sqrt({n_common})"), F.lit(False))
+    return d.withColumn(f"{prefix}base_failed", base).withColumn(f"{prefix}kept", ~base & ~odd_chars & ~odd_words)
 
 
 def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
