@@ -107,7 +107,8 @@ def blank_strings(out: bytearray, at: int, end: int) -> None:
 
 
 def blank_hex(out: bytearray, at: int, end: int) -> None:
-    for m in re.finditer(rb"<(?!<)([^>]*)", bytes(out[at:end])):
+    """Hex strings become zeros; dictionary brackets and their keys are no hex strings."""
+    for m in re.finditer(rb"(?<!<)<([0-9A-Fa-f\s]*)>", bytes(out[at:end])):
         a, b = at + m.start(1), at + m.end(1)
         out[a:b] = re.sub(rb"[0-9A-Fa-f]", b"0", bytes(out[a:b]))
 

@@ -22,7 +22,7 @@ from ..functions.formats import svg
 from ..functions.registry import Registry
 from ..plans.shipping import ship
 
-GPS = "latitude double, longitude double, altitude double, speed double, direction double, date_stamp string".replace(" double", ":double").replace(" string", ":string")
+GPS = "latitude:double,longitude:double,altitude:double,speed:double,direction:double,date_stamp:string"
 EXIF = "date_time_original:string,date_time_digitized:string,exposure_time:string,f_number:double,iso:int,focal_length:int,flash:boolean,lens_model:string,lens_manufacturer:string,color_space:int,pixel_width:bigint,pixel_height:bigint,white_balance:int,exposure_mode:int,exposure_program:int"
 TEXTS = ("make", "model", "software", "image_description", "artist", "copyright", "date_time")
 METADATA = "struct<format:string," + ",".join(f"{t}:string" for t in TEXTS) + f",orientation:int,exif:struct<{EXIF}>,gps:struct<{GPS}>,has_xmp:boolean,has_icc:boolean,has_iptc:boolean,has_thumbnail:boolean,raw:map<string,string>>"
@@ -183,7 +183,7 @@ def inspect_text(metadata: str = "metadata", size: str = "file_size") -> Column:
     lines += [line(label, shown(f"{m}.{c}")) for label, c in labels]
     number = lambda c: F.when(F.col(c) != 0, F.col(c).cast("string"))
     lines.append(line("Orient.", number(f"{m}.orientation")))
-    fixed = lambda c, n: F.format_number(F.col(c), "0." + "0" * n)
+    fixed = lambda c, n: F.expr(f"format_number({c}, '0.{'0' * n}')")
     lines += [line("GPS", F.concat(fixed(f"{m}.gps.latitude", 6), F.lit(", "), fixed(f"{m}.gps.longitude", 6))), line("Altitude", F.concat(fixed(f"{m}.gps.altitude", 1), F.lit(" m")))]
     lines += [line("Captured", shown(f"{m}.exif.date_time_original")), line("f/", number(f"{m}.exif.f_number")), line("ISO", number(f"{m}.exif.iso")), line("Focal", F.concat(number(f"{m}.exif.focal_length"), F.lit(" mm")))]
     lines += [line(label, F.when(F.col(f"{m}.has_{c}"), "yes")) for label, c in (("XMP", "xmp"), ("ICC", "icc"), ("IPTC", "iptc"), ("Thumbnail", "thumbnail"))]
