@@ -99,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate, quality_rules, warc
+    from . import decontaminate, near_dedup, quality_rules, suffix_dedup, warc
 
-    return {"op1_quality_rules": quality_rules.ORACLE, "op6_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    sources = {"op1_quality_rules": quality_rules, "op2_suffix_dedup": suffix_dedup, "op6_warc": warc, "op9_decontaminate": decontaminate, "op10_near_dedup": near_dedup}
+    return {name: module.ORACLE for name, module in sources.items()}

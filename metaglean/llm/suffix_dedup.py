@@ -463,3 +463,17 @@ def without_earlier(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     kind = "string" if digest else "binary"
     return _with_replies(blocks, replies.union(marks)).groupBy("block").applyInArrow(final, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}")
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(generate_series(0, n - 50)) AS g(i)),
+f AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
+hit AS (SELECT w.doc_id, w.i FROM w JOIN f USING (s) WHERE f.f < w.doc_id),
+isle AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM
+    (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM hit)) GROUP BY doc_id, k),
+seg AS (SELECT doc_id, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p, a AS q FROM isle UNION ALL SELECT d.doc_id, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN isle USING (doc_id) GROUP BY d.doc_id),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * p + 1, 2 * (q - p)), '' ORDER BY p) AS k FROM d JOIN seg USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(kept.k)) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN (SELECT doc_id, sum(e - a) AS removed, count(*) AS spans FROM isle GROUP BY doc_id) r USING (doc_id)
+"""
