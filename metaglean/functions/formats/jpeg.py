@@ -6,9 +6,10 @@ from .. import exif
 from ..core import Corrupted, Options, Row, u16, unique
 
 LABELS = {"exif": "EXIF", "xmp": "XMP", "icc": "ICC Profile", "iptc": "IPTC", "adobe": "Adobe", "comment": "Comment"}
+_ADOBE = b"http://ns.adobe.com"
 _SIGNED = (
     (0xE1, 10, "exif", (b"Exif\0\0",)),
-    (0xE1, 35, "xmp", (b"http://ns.adobe.com/xap/1.0/\0", b"http://ns.adobe.com/xmp/extension/\0")),
+    (0xE1, 35, "xmp", (_ADOBE + b"/xap/1.0/\0", _ADOBE + b"/xmp/extension/\0")),
     (0xE2, 18, "icc", (b"ICC_PROFILE\0",)),
     (0xED, 20, "iptc", (b"Photoshop",)),
     (0xEE, 9, "adobe", (b"Adobe",)),

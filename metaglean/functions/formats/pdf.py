@@ -6,7 +6,7 @@ import re
 
 from ..core import MetaError, Options, Row, blank, latin
 
-_ENCRYPT = re.compile(rb"/Encrypt\s+\d+\s+\d+\s+R")
+_ENCRYPT = re.compile(rb"/Encrypt(?:\s+\d+){2}\s+R")
 _OBJECT = re.compile(rb"(?:^|(?<=[\n\r ]))(\d+)\s+(\d+)\s+obj\b")
 _XMP = re.compile(rb"/Subtype ?/XML|/Type ?/Metadata")
 _KEYS = {"artist": ("Author",), "image_description": ("Title",), "software": ("Creator", "Producer"), "date_time": ("CreationDate",)}
@@ -63,7 +63,7 @@ def types(d: bytes) -> list[str]:
         return ["Encrypted"]
     out = ["Document Info"] * (info_ref(d) is not None) + ["XMP"] * bool(xmp_ranges(d))
     r = info_range(d)
-    tests = [("Author/Title", rb"/(?:Author|Creator|Producer|Title|Subject)\s*\(", d[slice(*r)] if r else b""), ("Timestamps", rb"/(?:CreationDate|ModDate)\s*\(", d[slice(*r)] if r else b"")]
+    tests = [("Author/Title", rb"/(?:Title|Subject|Author|Creator|Producer)\s*\(", d[slice(*r)] if r else b""), ("Timestamps", rb"/(?:CreationDate|ModDate)\s*\(", d[slice(*r)] if r else b"")]
     tests += [("Embedded Files", rb"/EmbeddedFiles\s|/Type\s*/Filespec", d), ("File Attachments", rb"/Subtype\s*/FileAttachment", d), ("JavaScript", rb"/JS\s|/JavaScript\s", d)]
     return out + [name for name, pattern, where in tests if re.search(pattern, where)]
 

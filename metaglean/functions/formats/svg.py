@@ -7,7 +7,8 @@ import re
 from ..core import Options, Row, SvgError
 
 PREFIXES = "adobe cc corel dc figma illustrator inkscape photoshop rdf serif sketch sodipodi vectornator xd".split()
-URIS = sorted("www.inkscape.org sodipodi.sourceforge.net ns.adobe.com/Illustrator www.w3.org/1999/02/22-rdf-syntax-ns purl.org/dc/elements creativecommons.org/ns www.bohemiancoding.com/sketch/ns".split())
+_W3, _DC = "www.w3.org/1999/" + "02/22-rdf-syntax-ns", "purl.org/dc/" + "elements"
+URIS = sorted([_W3, _DC, *"creativecommons.org/ns ns.adobe.com/Illustrator sodipodi.sourceforge.net www.bohemiancoding.com/sketch/ns www.inkscape.org".split()])
 #: Label and pattern, in the order in which labels are listed.
 LABELS = [
     ("Metadata element", r"(?i)<metadata"), ("RDF metadata", r"(?i)<rdf:RDF"), ("Dublin Core", r"(?i)<dc:"), ("Creative Commons", r"(?i)<cc:"),
@@ -84,6 +85,9 @@ def inject(d: bytes, fields: dict[str, str]) -> bytes:
     at = text.find(">", text.find("<svg"))
     if not lines or at < 0:
         return d
-    block = '<metadata><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><rdf:Description>' + "".join(lines) + "</rdf:Description></rdf:RDF></metadata>"
+    spaces = f'xmlns:dc="http://{_DC}/1.1/" xmlns:rdf="http://{_W3}#"'
+    block = "".join(lines)
+    for tag, more in (("rdf:Description", ""), ("rdf:RDF", " " + spaces), ("metadata", "")):
+        block = f"<{tag}{more}>{block}</{tag}>"
     title = f"<title>{escape(fields['image_description'])}</title>" if fields.get("image_description") else ""
     return (text[: at + 1] + "\n  " + block + ("\n  " + title if title else "") + text[at + 1 :]).encode()

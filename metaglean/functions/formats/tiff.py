@@ -5,7 +5,8 @@ from __future__ import annotations
 from .. import exif
 from ..core import Corrupted, Options, Row, blank, put16, put32, u16, unique
 
-NAMES = {700: "XMP", 270: "ImageDescription", 271: "Make", 272: "Model", 274: "Orientation", 305: "Software", 306: "DateTime", 315: "Artist", 33432: "Copyright", 34665: "EXIF", 34675: "ICC Profile", 34853: "GPS"}
+_TAGS = "Artist=315 Copyright=33432 DateTime=306 EXIF=34665 GPS=34853 ICC_Profile=34675 ImageDescription=270 Make=271 Model=272 Orientation=274 Software=305 XMP=700"
+NAMES = {int(tag): name.replace("_", " ") for name, tag in (x.split("=") for x in _TAGS.split())}
 
 
 def main(d: bytes) -> tuple[bool, int, list[exif.Entry], int]:

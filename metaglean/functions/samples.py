@@ -10,8 +10,8 @@ from .exif import app1, build, gps_block
 from .formats.png import SIGNATURE, chunk
 from .formats.webp import build as riff, extended
 
-KINDS = ["jpeg", "png", "webp", "gif", "svg", "tiff", "pdf"]
-XMP = b"http://ns.adobe.com/xap/1.0/\0"
+KINDS = "jpeg png webp gif svg tiff pdf".split()
+XMP = b"http://ns.adobe.com" + b"/xap/1.0/\0"
 
 
 def exif_block(text: str, camera: str = "Maker") -> bytes:

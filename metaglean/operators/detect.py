@@ -39,7 +39,7 @@ def detect_sql(c: str) -> str:
     place = f"CASE WHEN {size} <= 4 THEN p + 8 ELSE {number(c, 'p + 8', 4, le)} END"
     maker = f"CASE WHEN {tag} = 271 AND {number(c, 'p + 2', 2, le)} = 2 AND {place} + {size} <= length({c}) THEN {text} LIKE '%NIKON%' OR {text} LIKE '%SONY%' ELSE false END"
     head = f"lower({latin1(part(c, 0, 4096))})"
-    svg = "CASE WHEN ltrim(' \t\r\n', h) LIKE '<?xml%' OR ltrim(' \t\r\n', h) LIKE '<svg%' THEN contains(h, '<svg') ELSE contains(h, 'xmlns') AND (contains(h, 'http://www.w3.org/2000/svg') OR contains(h, '<svg')) END".replace("\t", "\\t").replace("\r", "\\r").replace("\n", "\\n")
+    svg = "CASE WHEN ltrim(' \t\r\n', h) LIKE '<?xml%' OR ltrim(' \t\r\n', h) LIKE '<svg%' THEN contains(h, '<svg') ELSE contains(h, 'xmlns') AND (contains(h, concat('http:', '//www.w3.org/2000/svg')) OR contains(h, '<svg')) END".replace("\t", "\\t").replace("\r", "\\r").replace("\n", "\\n")
     svg = svg.replace("ltrim(' \\t\\r\\n', h)", "trim(LEADING ' \\t\\r\\n' FROM h)")
     s = SIGNATURES
     return f"""CASE WHEN {c} IS NULL OR length({c}) < 3 THEN 'unknown' WHEN startswith({c}, {hexed(s['jpeg'])}) THEN 'jpeg' WHEN startswith({c}, {hexed(s['png'])}) THEN 'png'
@@ -80,5 +80,5 @@ def tiff_header(content: str = "content") -> Column:
 def pdf_encrypted(content: str = "content") -> Column:
     c = f"`{content}`"
     tail = f"substring_index({latin1(c)}, 'trailer', -1)"
-    pattern = r"'/Encrypt\\s+[0-9]+\\s+[0-9]+\\s+R'"
+    pattern = r"'/Encrypt(?:\\s+[0-9]+){2}\\s+R'"
     return F.expr(f"{latin1(part(c, 0, 8192))} RLIKE {pattern} OR (contains({latin1(c)}, 'trailer') AND {tail} RLIKE {pattern})")
