@@ -7,7 +7,7 @@ import re
 from ..core import MetaError, Options, Row, blank, latin
 
 _ENCRYPT = re.compile(rb"/Encrypt(?:\s+\d+){2}\s+R")
-_OBJECT = re.compile(rb"(?:^|(?<=[\n\r ]))(\d+)\s+(\d+)\s+obj\b")
+_OBJECT = re.compile(rb"(?:^|(?<=[\n\r ]))([0-9]+)\s+([0-9]+)\s+obj\b")
 _XMP = re.compile(rb"/Subtype ?/XML|/Type ?/Metadata")
 _KEYS = {"artist": ("Author",), "image_description": ("Title",), "software": ("Creator", "Producer"), "date_time": ("CreationDate",)}
 
@@ -32,7 +32,7 @@ def info_range(d: bytes) -> tuple[int, int] | None:
 
 def info_ref(d: bytes) -> tuple[int, int] | None:
     last = d.rfind(b"trailer", 0, max(0, len(d) - 20 + 7))
-    m = re.search(rb"/Info\s+(\d+)\s+(\d+)\s+R", d[last : last + 2048]) if last >= 0 else None
+    m = re.search(rb"/Info\s+([0-9]+)\s+([0-9]+)\s+R", d[last : last + 2048]) if last >= 0 else None
     return (int(m[1]), int(m[2])) if m else None
 
 

