@@ -132,6 +132,11 @@ def verify_clean(df: DataFrame, content: str = "content", registry: Registry | N
     return _mapped(df, content, "clean boolean, format string, remaining_metadata array<string>, confidence string, warnings array<string>", lambda d: [scrub.verify(d, registry)], True)
 
 
+def all_clean(df: DataFrame, content: str = "content", registry: Registry | None = None) -> bool:
+    """Whether no file has metadata left: the gate of a commit hook or a release job."""
+    return verify_clean(df, content, registry).where("not clean").isEmpty()
+
+
 def steganography(df: DataFrame, content: str = "content") -> DataFrame:
     """One row for each sign of a hidden payload."""
     return _mapped(df, content, "code string, message string, offset bigint, size bigint", lambda d: [dict(zip(("code", "message", "offset", "size"), w)) for w in scrub.hidden(d)], True)

@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scrub
 from ..functions.core import Options
 from ..functions.textsql import output_path
 from ..operators import files
@@ -47,6 +48,9 @@ def run(spark: SparkSession, job: Job, results: str) -> DataFrame:
 
 def main(argv: list[str]) -> int:
     job = parse(argv, find_config())
+    if job.inputs == ("-",):  # one file from standard input to standard output needs no cluster
+        sys.stdout.buffer.write(scrub.remove(sys.stdin.buffer.read(), job.options).content)
+        return 0
     spark = SparkSession.builder.appName("metaglean").getOrCreate()
     results = (job.report or "metaglean-report").rstrip("/")
     if job.watch:

@@ -6,8 +6,10 @@ sink writes by path, so a repeated batch leaves the same files.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions.core import Options
 from ..operators import files
@@ -16,6 +18,26 @@ from ..plans.options import Job
 from ..sources import files as sources, sinks
 
 
+class Progress(StreamingQueryListener):
+    """Calls back with the rows so far after each batch of a stream."""
+
+    def __init__(self, callback: Callable[[int, int], None]):
+        self.callback, self.rows = callback, 0
+
+    def onQueryStarted(self, event) -> None:
+        self.rows = 0
+
+    def onQueryProgress(self, event) -> None:
+        self.rows += event.progress.numInputRows
+        self.callback(event.progress.batchId, self.rows)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def scrub_stream(df: DataFrame, options: Options | None = None) -> DataFrame:
     """The removal over a stream (or a table) of files: one row in, one row out."""
     return files.remove_metadata(df, options)

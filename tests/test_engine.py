@@ -3,6 +3,9 @@
 import io
 import os
 import random
+import subprocess
+import sys
+import time
 import zipfile
 
 import pytest
@@ -121,6 +124,29 @@ def test_stream_equals_batch(spark, tmp_path):
         watch.watch(spark, options.parse(["/a", "--output-dir", "/a/b"]), "/tmp/x")
 
 
+def test_progress_and_gate(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"f{i}.png").write_bytes(samples.png(i, "x"))
+    seen = []
+    listener = watch.Progress(lambda batch, rows: seen.append(rows))
+    spark.streams.addListener(listener)
+    q = watch.scrub_stream(sources.stream(spark, str(tmp_path))).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/.check").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    for _ in range(100):
+        if seen:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(listener)
+    assert seen and seen[-1] == 3
+    found = sources.scan(spark, str(tmp_path))
+    assert not O.all_clean(found) and O.all_clean(found.where("path like '%f0.png'"))
+
+
+def test_standard_input(tmp_path):
+    out = subprocess.run([sys.executable, "-m", "metaglean.plans.batch", "-"], input=samples.png(3, "x"), capture_output=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.stdout == samples.png(0, "")
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("g", "b.txt", bytearray(b"bb")), ("g", "a.txt", bytearray(b"a")), ("h", "c", None)], "g string, name string, content binary")
     zips = {r.group: zipfile.ZipFile(io.BytesIO(bytes(r.archive))) for r in sinks.zip_bundle(df, "g").collect()}
