@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,7 @@ MIN_REVISIT = 100
 RANGE = 8 << 20
 MAGIC = b"WARC/1.0\r\n"
 HEADER_LIMIT = 64 << 10
+BROADCAST_DIGESTS = 100_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -59,12 +61,14 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, dige
 
 
 def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Writes one archive a task into ``folder``; returns path and bytes of each."""
+    """Writes one archive a task into ``folder``; returns number, path and bytes of each."""
     ship(df.sparkSession)
     p = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
     first = p.where(F.length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    rows = p.join(first, "digest", "left")
+    first = stage(first, "first")
+    # Payloads move only if the copied digests are too many to send to every task.
+    rows = p.join(F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first, "digest", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, path = None, 0, f"{folder}/{uuid.uuid4().hex}.warc"
@@ -84,9 +88,9 @@ def write(df: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "u
             if out is not None:
                 out.close()
         if out is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([size], pa.int64())], ["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([path]), pa.array([size], pa.int64())], ["file", "path", "bytes"])
 
-    return rows.select("page_id", "url", "payload", "digest", "first").mapInArrow(run, "path string, bytes long")
+    return rows.select("page_id", "url", "payload", "digest", "first").mapInArrow(run, "file long, path string, bytes long")
 
 
 class Range:
@@ -143,18 +147,18 @@ class Range:
 
 
 def ranges(archives: DataFrame, size: int = RANGE) -> DataFrame:
-    """path, bytes, start, end of the ranges of all archives."""
-    d = archives.where("bytes > 0").select("path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {size}L)")).alias("start"))
-    d = d.select("path", "bytes", "start", F.least(F.col("start") + size, "bytes").alias("end"))
-    return d.repartition(F.col("path"), F.col("start"))
+    """file, path, bytes, start, end of the ranges of all archives."""
+    d = archives.where("bytes > 0").select("file", "path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {size}L)")).alias("start"))
+    d = d.select("file", "path", "bytes", "start", F.least(F.col("start") + size, "bytes").alias("end"))
+    return d.repartition(F.col("file"), F.col("start"))
 
 
 def links(parts: DataFrame) -> DataFrame:
-    """path, entry, exit: of every candidate the first chained offset outside its range."""
+    """file, entry, exit: of every candidate the first chained offset outside its range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, total, start, end in zip(*(c.to_pylist() for c in batch.columns)):
+            for file, path, total, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 r = Range(path, start, end, total)
                 leave: dict[int, int] = {}
                 for at in reversed(r.candidates()):
@@ -163,38 +167,38 @@ def links(parts: DataFrame) -> DataFrame:
                         after = leave.get(after, after) if after < end else after
                         if after >= end:
                             leave[at] = after
-                # Only the first candidates of a chain can be entered from outside, but any may be one.
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(leave), pa.string()), pa.array(list(leave), pa.int64()), pa.array(list(leave.values()), pa.int64())], ["path", "entry", "exit"])
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(leave), pa.int64()), pa.array(list(leave), pa.int64()), pa.array(list(leave.values()), pa.int64())], ["file", "entry", "exit"])
 
-    return parts.select("path", "bytes", "start", "end").mapInArrow(run, "path string, entry long, exit long")
+    return parts.select("file", "path", "bytes", "start", "end").mapInArrow(run, "file long, entry long, exit long")
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """path, entry: the entries that pointer jumping reaches from offset 0."""
-    jump = stage(edges, "jump")
-    seen = stage(jump.where("entry = 0").select("path", "entry"), "seen")
+    """file, entry: the entries that pointer jumping reaches from offset 0."""
+    jump = edges
+    seen = stage(edges.where("entry = 0").select("file", "entry"), "seen")
     n = seen.count()
     while True:
-        step = seen.join(jump, ["path", "entry"]).select("path", F.col("exit").alias("entry"))
-        wider = stage(seen.union(step.join(edges, ["path", "entry"], "left_semi")).distinct(), "seen")
+        step = seen.join(jump, ["file", "entry"]).select("file", F.col("exit").alias("entry"))
+        wider = stage(seen.union(step.join(edges, ["file", "entry"], "left_semi")).distinct(), "seen")
         m = wider.count()
         if m == n:
             return wider
         seen, n = wider, m
-        far = jump.select("path", F.col("entry").alias("exit"), F.col("exit").alias("beyond"))
-        jump = stage(jump.join(far, ["path", "exit"]).select("path", "entry", F.col("beyond").alias("exit")), "jump")
+        far = jump.select("file", F.col("entry").alias("exit"), F.col("exit").alias("beyond"))
+        jump = stage(jump.join(far, ["file", "exit"]).select("file", "entry", F.col("beyond").alias("exit")), "jump")
 
 
 def read(archives: DataFrame, size: int = RANGE) -> DataFrame:
     """page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to.
 
+    ``archives`` names the files: file (any number of its own), path, bytes.
     The payload of a revisit is null; its length and digest are those of its headers.
     """
     ship(archives.sparkSession)
     parts = stage(ranges(archives, size), "ranges")
-    entries = reachable(stage(links(parts), "links")).select("path", "entry", (F.floor(F.col("entry") / size) * size).alias("start"))
+    entries = reachable(stage(links(parts), "links")).select("file", "entry", (F.floor(F.col("entry") / size) * size).alias("start"))
     # A range is entered once at most, by the one chain of its file.
-    found = parts.join(entries.groupBy("path", "start").agg(F.min("entry").alias("entry")), ["path", "start"])
+    found = parts.join(entries.groupBy("file", "start").agg(F.min("entry").alias("entry")), ["file", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
