@@ -46,11 +46,15 @@ def stage(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
 
     A later loss of an executor re-reads the table, never the work before it.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_stage(df, what, codec))
+    path = write_stage(df, what, codec)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
 
 
-def drop_stage(spark: SparkSession, path: str) -> None:
-    """Removes a stage table that no plan reads any more."""
+def drop_stage(staged: DataFrame) -> None:
+    """Removes the table of ``stage`` when no later plan reads it."""
+    spark, path = staged.sparkSession, staged.stage_path
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(conf).delete(p, True)

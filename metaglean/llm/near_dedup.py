@@ -17,9 +17,12 @@ very threshold.
    confirmed on full sets, from the texts.
 4. Components of confirmed links come from alternating large-star and
    small-star steps on tables.
-5. Round two takes the lists whose members are still in different components
-   and checks the pairs across components, so no link is lost that could join
-   two of them.
+5. Round two takes the lists whose members are still in different components.
+   Of short lists it checks the pairs across components, so no link is lost that
+   could join two of them.  Documents of longer lists (more than ``LIST_LIMIT``)
+   are joined anew by prefixes of their full sets, rarest shingles first, which
+   is exact and lets a passage of very many documents form no list; their lists
+   are settled by heads first too.
 
 Defined results: null or blank text has an empty set, links with nothing and
 stays; a null id links with nothing and stays; rows of one id are one document;
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import drop_stage, ship, stage
 from .textvec import LOWER, SPACE, U, chunks, mix, prefix_sums, shingle_hash, span_hash, string_bytes, word_spans
 
 K, RUN = 48, 3
@@ -44,6 +47,8 @@ K, RUN = 48, 3
 PLAUSIBLE = 0.8 - 6 * (0.16 / K) ** 0.5
 #: Ids of candidates that are broadcast to thin the text scan; beyond it, a shuffled join does that.
 BROADCAST_IDS = 250_000
+#: Lists up to this size are paired in round two; documents of longer ones are joined by prefixes.
+LIST_LIMIT = 256
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -152,9 +157,7 @@ def _plausible(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """Those of the pairs whose full sets have similarity 0.8 or more."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = _wanted(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}  # sorted by a: its set is at hand for all its partners
@@ -199,7 +202,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = stage(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = stage(small, "small")
+        fewer = stage(small, "small")
+        drop_stage(edges)
+        drop_stage(large)
+        edges = fewer
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == mark or now[0] == 0:
             break
@@ -220,23 +226,23 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = usable.join(classes, "digest").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     own = own.join(reps.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
 
-    p = stage(postings(reps), "postings")
-    heads = p.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("h"), F.count("*").alias("size")).where("size > 1").select("key", "size", F.col("h.doc_id").alias("head"), F.col("h.n_shingles").alias("head_n"))
-    lists = stage(p.join(heads, "key"), "lists")
-    fits = lambda x, y: 100 * F.least(x, y) >= 80 * F.greatest(x, y)
-    star = lists.where("doc_id <> head").where(fits(F.col("n_shingles"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = stage(star, "star")
-    found = stage(links(star, reps, docs, shingle).union(own), "links1")
+    lists = _lists(postings(reps), "lists")
+    tested = stage(_star(lists), "star")
+    found = stage(links(tested, reps, docs, shingle).union(own), "links1")
     labels = stage(components(found), "labels")
 
-    placed = lists.join(labels, lists.doc_id == labels.node, "left").select("key", "size", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    placed = stage(placed, "placed")
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    unsettled = stage(placed.join(open_keys, "key"), "unsettled")
-    crossing = _crossing(unsettled, fits).join(star, ["a", "b"], "left_anti")
-    more = stage(links(stage(crossing, "crossing"), reps, docs, shingle), "links2")
-    if not more.isEmpty():
-        labels = stage(components(found.union(more)), "labels2")
+    open_lists = _unsettled(lists, labels)
+    pairs = _crossing(open_lists.where(F.col("size") <= LIST_LIMIT))
+    long_docs = stage(open_lists.where(F.col("size") > LIST_LIMIT).select("doc_id").distinct(), "long")
+    rest = None
+    if not long_docs.isEmpty():
+        rest = _lists(prefixes(docs, long_docs, shingle), "prefix_lists")
+        pairs = pairs.union(_star(rest)).distinct()
+    pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs2")
+    found, labels = _more(pairs, found, labels, reps, docs, shingle)
+    if rest is not None:
+        last = _crossing(_unsettled(rest, labels)).join(tested.union(pairs), ["a", "b"], "left_anti")
+        found, labels = _more(stage(last, "pairs3"), found, labels, reps, docs, shingle)
 
     named = classes.join(labels, classes.rep == labels.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("digest")).alias("digest")).join(named, "digest", "left")
@@ -244,11 +250,79 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _crossing(unsettled: DataFrame, fits) -> DataFrame:
+def _lists(p: DataFrame, what: str) -> DataFrame:
+    """The postings of keys with two documents or more, with size and head (smallest document) of their list."""
+    p = stage(p, what + "_postings")
+    heads = p.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("h"), F.count("*").alias("size")).where("size > 1")
+    out = stage(p.join(heads.select("key", "size", F.col("h.doc_id").alias("head"), F.col("h.n_shingles").alias("head_n")), "key"), what)
+    drop_stage(p)
+    return out
+
+
+def _fits(x: str, y: str):
+    """Sizes that allow a similarity of 0.8."""
+    return 100 * F.least(F.col(x), F.col(y)) >= 80 * F.greatest(F.col(x), F.col(y))
+
+
+def _star(lists: DataFrame) -> DataFrame:
+    """Pairs of each list's head and its members: as many as members, not as their square."""
+    return lists.where("doc_id <> head").where(_fits("n_shingles", "head_n")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+
+
+def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists whose members are in several components, with the component of each member."""
+    placed = lists.join(labels, lists.doc_id == labels.node, "left").select("key", "size", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    placed = stage(placed, "placed")
+    keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    out = stage(placed.join(keys, "key"), "unsettled")
+    drop_stage(placed)
+    return out
+
+
+def _crossing(unsettled: DataFrame) -> DataFrame:
     """Pairs of one list and of different components, each once."""
     a = unsettled.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("component").alias("ca"))
     b = unsettled.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("component").alias("cb"))
-    return a.join(b, "key").where("a < b and ca <> cb").where(fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    return a.join(b, "key").where("a < b and ca <> cb").where(_fits("na", "nb")).select("a", "b").distinct()
+
+
+def _more(pairs: DataFrame, found: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Links and labels with those of further pairs."""
+    more = stage(links(pairs, reps, docs, shingle), "more")
+    if more.isEmpty():
+        return found, labels
+    found = found.union(more)
+    return found, stage(components(found), "labels")
+
+
+def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
+def prefixes(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """key, doc_id, n_shingles: the rarest shingles of each document, so many that similar documents share one.
+
+    Sets of similarity 0.8 share at least ceil(0.8 n) of the n elements of
+    either, so in any common order of all elements the first n - ceil(0.8 n) + 1
+    of both have one in common.  Rarest first, what very many documents share
+    (a passage) comes last and makes no list unless it is most of a document.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(1))
+            for at, end, part, offs in chunks(data, offsets):
+                sets = list(shingle_sets(part, offs, shingle))
+                n = np.array([len(x) for x in sets])
+                row = pa.array(np.repeat(np.arange(at, end), n))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column(0).take(row), pa.array(np.repeat(n, n))], ["key", "doc_id", "n_shingles"])
+
+    every = _wanted(docs, ids).select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n_shingles long")
+    every = stage(every.dropDuplicates(["doc_id", "key"]), "shingles")
+    often = every.groupBy("key").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy("n", "key")
+    ranked = every.join(often, "key").withColumn("rank", F.row_number().over(order))
+    return ranked.where("rank <= n_shingles - (4 * n_shingles + 4) div 5 + 1").select("key", "doc_id", "n_shingles")
 
 
 ORACLE = r"""

@@ -133,7 +133,8 @@ def test_suffix_dedup_awkward(spark):
 # 3
 
 
-PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><p>Site name here</p></header><nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>
+PAGE = """<html><head><title>T</title><style>p{}</style><meta charset="utf-8"></head>
+<body class="x"><header><p>Site name here</p></header><nav><ul><li><a href=x>Home</a><li><a href=y>About</a></ul></nav>
 <div class="cookie-notice">We use cookies to make things better for you.</div><article><h1>Head &amp; line</h1><p>First  paragraph\nof the text.<p>Second <b>one</b>, not closed.<script>var t="</p>";</script>
 <form><p>Mail <input><button>Go</button></form></article><div id="comments"><p>Great article, I liked it very much indeed.</p></div><aside>Other stories</aside><footer>&copy; 2024</footer></body></html>"""
 
@@ -402,7 +403,9 @@ def brute_components(rows, n=4):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-def test_near_dedup(spark, docs):
+@pytest.mark.parametrize("limit", [256, 2])
+def test_near_dedup(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(near_dedup, "LIST_LIMIT", limit)
     r = random.Random(6)
     words = [f"w{i}" for i in range(400)]
     rows = list(docs.items())
@@ -435,6 +438,19 @@ def test_near_dedup_hot_group(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_near_dedup_shared_passage(spark, monkeypatch):
+    """A passage in most documents links none of them by itself."""
+    monkeypatch.setattr(near_dedup, "LIST_LIMIT", 8)
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i // 2 if i < 20 else i}_{k}" for k in range(r.choice([4, 12, 15, 30]) if i >= 20 else 20)]
+        rows.append((i, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :] + ([f"z{i}"] if i % 2 else []))))
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def test_near_dedup_awkward(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(awkward(spark)).collect()]
     assert sorted(x for x in got if x[0] in (1, 2, 3)) == [(i, 0, i, True) for i in (1, 2, 3)]
