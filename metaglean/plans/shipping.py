@@ -1,4 +1,8 @@
-"""Sends this package to the Python workers, once per application."""
+"""Sends this package to the Python workers, once per application.
+
+A row holds a whole file, so Arrow batches are kept short unless the session
+has a size of its own.
+"""
 
 from __future__ import annotations
 
@@ -10,10 +14,13 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "256"
 _SENT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
