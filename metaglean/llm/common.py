@@ -11,6 +11,7 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 _SHIPPED: set[str] = set()
 
 
@@ -61,7 +62,13 @@ def drop_stage(staged: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application."""
+    """Sends this package to the Python workers, once per application.
+
+    Rows hold whole texts, so Arrow batches are made smaller than the default
+    unless the session has a size of its own.
+    """
+    if spark.conf.get(BATCH_SETTING) == "10000":
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
