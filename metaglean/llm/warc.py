@@ -14,7 +14,9 @@ first offset beyond it (the exit).  Pointer jumping over these entry-to-exit
 links, from offset 0 of every file, keeps the reachable entries in a number of
 rounds that is logarithmic in the ranges of the longest file.  A second pass
 over the ranges yields the records of the chains that start at reachable
-entries; a magic inside a payload is on no such chain.
+entries; a magic inside a payload is on no such chain.  Headers may have any
+size; an entry whose chain breaks inside its range has no exit, and its records
+before the break are yielded.
 
 Defined results: null payload counts as empty; rows of one id each have a
 record; ties on equal payloads go to the smallest id; an empty table gives no
@@ -39,7 +41,7 @@ from .common import shared_dir, ship, stage
 MIN_REVISIT = 100
 RANGE = 8 << 20
 MAGIC = b"WARC/1.0\r\n"
-HEADER_LIMIT = 64 << 10
+PIECE = 4 << 10
 BROADCAST_DIGESTS = 100_000
 
 
@@ -101,37 +103,73 @@ class Range:
         self.start, self.end, self.total, self.path = start, end, total, path
         self.file = fs.open_input_file(at)
         self.data = self.read(start, min(total, end + len(MAGIC)) - start)
+        self.scanned: dict[int, tuple[int, bytes | None] | None] = {}
 
     def read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
         return self.file.read(n)
 
+    def find(self, what: bytes, at: int, end: int | None = None) -> int:
+        """Offset of the first ``what`` from ``at`` to ``end`` (of the file), or -1; reads on in growing pieces."""
+        end = self.total if end is None else end
+        i = self.data.find(what, at - self.start, end - self.start)
+        if i >= 0:
+            return self.start + i
+        at, n = max(at, self.start + len(self.data) - len(what) + 1), PIECE
+        while at + len(what) <= end:
+            piece = self.read(at, min(n, end - at))
+            i = piece.find(what)
+            if i >= 0:
+                return at + i
+            if len(piece) < len(what):
+                break
+            at, n = at + len(piece) - len(what) + 1, min(2 * n, 1 << 20)
+        return -1
+
+    def scan(self, at: int) -> tuple[int, bytes | None] | None:
+        """The block's offset and the Content-Length of the record at ``at``, if headers are there.
+
+        Lines behind the first one of an earlier call are not read again, so the
+        candidates of a range, from the last to the first, take one pass.
+        """
+        if self.block(at, len(MAGIC)) != MAGIC:
+            return None
+        first = p = at + len(MAGIC)
+        found, length = None, None
+        while p not in self.scanned:
+            stop = self.find(b"\r\n", p)
+            if stop == p:
+                found = p + 2, None
+            colon = self.find(b":", p, stop) if stop > p else -1
+            if colon < 0:
+                break
+            if self.block(p, colon - p).strip().lower() == b"content-length":
+                length = self.block(colon + 1, stop - colon - 1).strip()
+            p = stop + 2
+        else:
+            found = self.scanned[p]
+        if found is not None and found[1] is None:
+            found = found[0], length
+        self.scanned[first] = found
+        return found
+
     def head(self, at: int) -> tuple[dict[bytes, bytes], int] | None:
         """Headers and the block's offset of the record at ``at``, if one is there."""
-        i = at - self.start
-        data, base = self.data, self.start
-        stop = data.find(b"\r\n\r\n", i)
-        if stop < 0 or stop - i > HEADER_LIMIT:
-            data, base, i = self.read(at, min(HEADER_LIMIT, self.total - at)), at, 0
-            stop = data.find(b"\r\n\r\n")
-            if stop < 0:
-                return None
-        if data[i : i + len(MAGIC)] != MAGIC:
+        found = self.scan(at)
+        if found is None:
             return None
         head = {}
-        for line in data[i + len(MAGIC) : stop].split(b"\r\n"):
-            key, colon, value = line.partition(b":")
-            if not colon:
-                return None
+        for line in self.block(at + len(MAGIC), found[0] - 4 - at - len(MAGIC)).split(b"\r\n"):
+            key, _, value = line.partition(b":")
             head[key.strip().lower()] = value.strip()
-        return head, base + stop + 4
+        return head, found[0]
 
     def successor(self, at: int) -> int | None:
         """Where the record at ``at`` says that the next one starts."""
-        found = self.head(at)
-        if not found or not found[0].get(b"content-length", b"").isdigit():
+        found = self.scan(at)
+        if not found or not (found[1] or b"").isdigit():
             return None
-        after = found[1] + int(found[0][b"content-length"]) + 4
+        after = found[0] + int(found[1]) + 4
         return after if after <= self.total else None
 
     def candidates(self) -> list[int]:
@@ -154,19 +192,17 @@ def ranges(archives: DataFrame, size: int = RANGE) -> DataFrame:
 
 
 def links(parts: DataFrame) -> DataFrame:
-    """file, entry, exit: of every candidate the first chained offset outside its range."""
+    """file, entry, exit: of every candidate the first chained offset outside its range, null if the chain breaks in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, path, total, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 r = Range(path, start, end, total)
-                leave: dict[int, int] = {}
+                leave: dict[int, int | None] = {}
                 for at in reversed(r.candidates()):
                     after = r.successor(at)
                     if after is not None:
-                        after = leave.get(after, after) if after < end else after
-                        if after >= end:
-                            leave[at] = after
+                        leave[at] = leave.get(after) if after < end else after
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(leave), pa.int64()), pa.array(list(leave), pa.int64()), pa.array(list(leave.values()), pa.int64())], ["file", "entry", "exit"])
 
     return parts.select("file", "path", "bytes", "start", "end").mapInArrow(run, "file long, entry long, exit long")
@@ -204,7 +240,7 @@ def read(archives: DataFrame, size: int = RANGE) -> DataFrame:
         for batch in batches:
             for path, total, start, end, at in zip(*(c.to_pylist() for c in batch.columns)):
                 r, rows, held = Range(path, start, end, total), [], 0
-                while at is not None and at < end:
+                while at < end and (after := r.successor(at)) is not None:
                     head, block = r.head(at)
                     kind, n = head[b"warc-type"].decode(), int(head[b"content-length"])
                     payload = r.block(block, n) if kind == "response" else None
@@ -216,7 +252,7 @@ def read(archives: DataFrame, size: int = RANGE) -> DataFrame:
                     url = head.get(b"warc-target-uri")
                     rows.append((name(head[b"warc-record-id"]), None if url is None else url.decode(), kind, payload, length, digest, name(head.get(b"warc-refers-to"))))
                     held += n
-                    at = r.successor(at)
+                    at = after
                     if held > RANGE:
                         yield _batch(rows)
                         rows, held = [], 0

@@ -250,6 +250,44 @@ def test_warc_rejects_magic_in_payloads(spark, tmp_path):
         assert keep != i or bytes(r.payload) == b
 
 
+def written(spark, tmp_path, rows):
+    archives = warc.write(pages(spark, rows).coalesce(1), f"file://{tmp_path}/a")
+    archives.write.parquet(f"{tmp_path}/list")
+    archives = spark.read.parquet(f"{tmp_path}/list")
+    return archives, archives.first().path.removeprefix("file://")
+
+
+@pytest.mark.parametrize("size", [700, warc.RANGE])
+def test_warc_headers_of_any_size(spark, tmp_path, size):
+    rows = [(i, "data:," + "u" * (100_000 if i % 5 == 2 else 9), f"page {i} " * (i % 40)) for i in range(20)]
+    archives, _ = written(spark, tmp_path, rows)
+    assert sorted((r.page_id, r.url, bytes(r.payload)) for r in warc.read(archives, size).collect()) == [(i, u, h.encode()) for i, u, h in rows]
+
+
+@pytest.mark.parametrize("size", [700, warc.RANGE])
+def test_warc_yields_records_before_a_break(spark, tmp_path, size):
+    rows = [(i, f"http://x/{i}", f"page {i} " * 30) for i in range(20)]
+    archives, path = written(spark, tmp_path, rows)
+    data = open(path, "rb").read()
+    starts = [i for i in range(len(data)) if data.startswith(warc.MAGIC, i)]
+    ids = [int(data[i:].partition(b"<urn:page:")[2].partition(b">")[0]) for i in starts]
+    damaged = data[: starts[12]] + data[starts[12] :].replace(b"Content-Length: ", b"Content-Length; ", 1)
+    for name, broken, n in [("block", data[:-9], 19), ("header", data[: starts[15] + 40], 15), ("line", damaged, 12), ("start", data[:40], 0)]:
+        open(f"{tmp_path}/{name}.warc", "wb").write(broken)
+        of = archives.select("file", F.lit(f"file://{tmp_path}/{name}.warc").alias("path"), F.lit(len(broken)).cast("long").alias("bytes"))
+        assert sorted(r.page_id for r in warc.read(of, size).collect()) == sorted(ids[:n]), name
+
+
+def test_warc_payload_of_open_headers_takes_one_pass(spark, tmp_path):
+    rows = [(1, "u", "WARC/1.0\r\nX:" * 60_000), (2, "v", "after")]
+    archives, path = written(spark, tmp_path, rows)
+    r = warc.Range(f"file://{path}", 0, archives.first().bytes, archives.first().bytes)
+    calls, find = [0], r.find
+    r.find = lambda *a: calls.__setitem__(0, calls[0] + 1) or find(*a)
+    assert len([r.successor(at) for at in reversed(r.candidates())]) > 60_000 and calls[0] < 200_000
+    assert sorted(x.page_id for x in warc.read(archives).collect()) == [1, 2]
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
