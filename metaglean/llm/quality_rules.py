@@ -4,8 +4,10 @@ Base counts come first (words, symbols, repeated lines, words in repeated
 three-word windows).  The method then compares two histograms of each document
 with references: its character classes, and its common words (function words of
 several languages).  The references are the summed histograms of all documents
-of each language of the corpus, and of all together; only languages with at
-least ``SHARE`` of all words have one, so there are never more than 1 / SHARE.
+of each language of the corpus, and of all together.  All documents are compared
+with those of the languages with at least ``SHARE`` of all words (never more than
+1 / SHARE); documents of another language also with that of their own, if it has
+at least ``MIN_OWN`` words, and if it has less, no distance is judged.
 The distance is Jensen-Shannon (base 2, square root) to the nearest reference.
 A document fails if a distance is over a limit that is wider for short texts,
 and only if the text is long enough to be judged at all.
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, stage
@@ -33,6 +35,7 @@ COMMON = sorted(set((
     "el y los del se las por para con no una su al lo"
 ).split()))
 SHARE = 0.005
+MIN_OWN, OWN_BROADCAST = 1000, 10_000
 MIN_WORDS, MIN_COMMON, MIN_CHARS = 50, 10, 200
 CHAR_LIMIT, CHAR_SLACK = 0.26, 0.8
 WORD_LIMIT, WORD_SLACK = 0.62, 0.6
@@ -83,7 +86,7 @@ def measure(df: DataFrame, text_col: str = "text", into: str = "m") -> DataFrame
 
 
 def references(measured: DataFrame, lang_col: str = "lang", m: str = "m") -> list[dict]:
-    """Character and common-word histograms of the languages, and of all ("*").
+    """Character and common-word histograms of the large languages, and of all ("*").
 
     Bounded by 1 / SHARE + 1 entries of a few dozen numbers, whatever the corpus.
     """
@@ -107,13 +110,50 @@ def references(measured: DataFrame, lang_col: str = "lang", m: str = "m") -> lis
     return out
 
 
+def own_references(measured: DataFrame, others: Column, lang: Column, m: str, key: str, own: str) -> DataFrame:
+    """key, own: of each language of ``others`` with at least MIN_OWN words an array of its reference."""
+    d = measured.where(others).select(lang.alias(key), m)
+    sizes = range(len(CLASSES) + 1)
+    chars = d.groupBy(key).agg(F.sum(f"{m}.n_words").alias("n"), F.array(*(F.sum(F.col(f"{m}.chars")[k]) for k in sizes)).alias("c")).where(F.col("n") >= MIN_OWN)
+    words = d.select(key, F.explode(F.arrays_zip(f"{m}.hist.words", f"{m}.hist.counts")).alias("x")).groupBy(key, F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("n"))
+    words = words.groupBy(key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("ns"))
+    shares = "transform(c, x -> x / aggregate(c, 0L, (s, y) -> s + y))"
+    parts = "coalesce(transform_values(ns, (w, x) -> x / all), map_from_arrays(cast(array() AS array<string>), cast(array() AS array<double>)))"
+    return chars.join(words, key, "left").select(key, F.expr(f"array(struct(`{key}` AS lang, {shares} AS chars, {parts} AS words))").alias(own))
+
+
+def with_own(measured: DataFrame, refs: list[dict], lang_col: str, m: str) -> tuple[DataFrame, Column, str | None]:
+    """``measured`` with the reference of a document's language if it has one outside ``refs``.
+
+    Also the condition that a document's language has a reference at all, and the
+    new column, if any.  The table of references is sent to every task only up to
+    OWN_BROADCAST languages; beyond, just the documents of such languages are
+    shuffled, none of which has SHARE of the words.
+    """
+    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
+    others = ~lang.isin([r["lang"] for r in refs[1:]])
+    if not measured.where(others).groupBy(lang).agg(F.sum(f"{m}.n_words").alias("n")).where(F.col("n") >= MIN_OWN).take(1):
+        return measured, ~others, None
+    key, own = fresh_name(measured.columns, "key_"), fresh_name(measured.columns, "own_")
+    table = stage(own_references(measured, others, lang, m, key, own), "own")
+    if table.count() <= OWN_BROADCAST:
+        d = measured.join(F.broadcast(table), lang == F.col(key), "left").drop(key)
+    else:
+        d = measured.where(others).join(table, lang == F.col(key), "left").drop(key)
+        d = measured.where(~others).withColumn(own, F.lit(None).cast(table.schema[own].dataType)).unionByName(d)
+    return d, ~others | F.col(own).isNotNull(), own
+
+
 def _term(a: str, b: str) -> str:
     return f"(CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0D END + CASE WHEN {b} > 0 THEN {b} * log2(2 * {b} / ({a} + {b})) ELSE 0D END) / 2"
 
 
-def judge(measured: DataFrame, refs: list[dict], m: str = "m", prefix: str = "") -> DataFrame:
+def judge(measured: DataFrame, refs: list[dict], m: str = "m", prefix: str = "", lang_col: str = "lang") -> DataFrame:
     """``measured`` with char_distance, word_distance, base_failed and kept, each after ``prefix``."""
+    measured, known, own = with_own(measured, refs, lang_col, m) if refs else (measured, F.lit(False), None)
     given = "from_json('" + json.dumps(refs, ensure_ascii=True).replace("\\", "\\\\") + "', 'array<struct<lang:string,chars:array<double>,words:map<string,double>>>')"
+    if own:
+        given = f"CASE WHEN `{own}` IS NULL THEN {given} ELSE concat({given}, `{own}`) END"
     add = "0D, (s, x) -> s + x"
     n_chars = f"aggregate({m}.chars, 0L, (s, x) -> s + x)"
     n_common = f"aggregate({m}.hist.counts, 0L, (s, x) -> s + x)"
@@ -123,8 +163,10 @@ def judge(measured: DataFrame, refs: list[dict], m: str = "m", prefix: str = "")
     absent = f"0.5D * (1D - aggregate(transform({m}.hist.words, w -> {q}), {add}))"
     by_word = f"transform({given}, r -> aggregate({terms}, {add}) + {absent})"
     far = lambda n, by, least: f"CASE WHEN {n} >= {least} THEN {_let(n, 'n', f'sqrt(greatest(0D, array_min({by})))')} END"
-    d = measured.withColumn(f"{prefix}char_distance", F.expr(far(n_chars, by_char, MIN_CHARS)) if refs else F.lit(None).cast("double"))
-    d = d.withColumn(f"{prefix}word_distance", F.expr(far(n_common, by_word, MIN_COMMON)) if refs else F.lit(None).cast("double"))
+    d = measured.withColumn(f"{prefix}char_distance", F.when(known, F.expr(far(n_chars, by_char, MIN_CHARS))) if refs else F.lit(None).cast("double"))
+    d = d.withColumn(f"{prefix}word_distance", F.when(known, F.expr(far(n_common, by_word, MIN_COMMON))) if refs else F.lit(None).cast("double"))
+    if own:
+        d = d.drop(own)
     base = (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
     odd_chars = F.coalesce(F.col(f"{prefix}char_distance") > F.expr(f"{CHAR_LIMIT} + {CHAR_SLACK} / sqrt({n_chars})"), F.lit(False))
     odd_words = F.coalesce(F.col(f"{prefix}word_distance") > F.expr(f"{WORD_LIMIT} + {WORD_SLACK} / sqrt({n_common})"), F.lit(False))
@@ -134,7 +176,7 @@ def judge(measured: DataFrame, refs: list[dict], m: str = "m", prefix: str = "")
 def quality(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``df`` without its text column, with the struct m, both distances and the verdicts."""
     measured = stage(measure(df, text_col).drop(text_col), "measured")
-    return judge(measured, references(measured, lang_col))
+    return judge(measured, references(measured, lang_col), lang_col=lang_col)
 
 
 def _sql_term(a: str, b: str) -> str:

@@ -66,6 +66,20 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert r.where("quality = 0 and not kept").count() > 5
 
 
+@pytest.mark.parametrize("limit", [quality_rules.OWN_BROADCAST, 0])
+def test_quality_small_languages_have_a_reference(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality_rules, "OWN_BROADCAST", limit)
+    rng = random.Random(5)
+    made = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)) + "."
+    english = lambda n: " ".join(rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.3 else made("etaoinshrdlu", 1)[:-1] for _ in range(n))
+    russian, greek = "оеаинтсрвлкмдпу", "αβγδεζηθικλμνξο"
+    rows = [(i, english(6000), "en") for i in range(60)] + [(100 + i, made(russian, 500), "ru") for i in range(3)] + [(103, made("0123456789", 60), "ru"), (104, made(greek, 100), None), (105, english(300), "el")]
+    out = {r.doc_id: r for r in quality_rules.quality(frame(spark, rows, "doc_id long, text string, lang string")).collect()}
+    assert len(out) == len(rows) and {i for i, r in out.items() if not r.kept} == {103}
+    assert out[104].char_distance is None and out[100].char_distance < 0.2 < out[103].char_distance
+    assert out[100].asDict().keys() == {"doc_id", "lang", "m", "char_distance", "word_distance", "base_failed", "kept"}
+
+
 def test_quality_awkward(spark):
     out = {(r.doc_id, r.text_copy): r for r in quality_rules.quality(awkward(spark).withColumn("text_copy", F.substring("text", 1, 5))).collect()}
     assert out[1, None].m.n_words == 0 and out[1, None].base_failed and not out[1, None].kept
