@@ -48,40 +48,68 @@ BAD_NAMES = re.compile(
     r"(?:^|[^a-z])(?:ads?|adv|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|aside|foot(?:er)?|head(?:er)?|masthead|cookies?|consent|notices?|gdpr|comments?|disqus|repl(?:y|ies)|respond|"
     r"discussion|related|recommend\w*|share|sharing|social|follow|subscribe|newsletter|signup|login|popup|modal|overlay|toolbar|widget|pagination|pager|copyright|legal|disclaimer|alert|toc|tags|skip)(?:$|[^a-z])"
 )
+HEAD_NAMES = re.compile(r"(?:^|[^a-z])head(?:er)?(?=$|[^a-z])")
 GOOD_NAMES = re.compile(r"(?:^|[^a-z])(?:article|content|entry|post|story|main|body|text|page)(?:$|[^a-z])")
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
 GOOD_ROLES = frozenset(("main", "article"))
 LINKS = frozenset(("a",))
 SPACE = re.compile(r"\s+")
 SCALE = 10
+#: Under what length, ending and element of a block are worth at most (6), so that these and its neighbours can outweigh it.
+NAME_COST = 5
 
 
 class Node:
-    __slots__ = ("bad", "depth", "good", "link", "parent", "silent", "tag")
+    """An element; ``good``, ``bad`` and ``named`` are of use after ``settle``."""
+
+    __slots__ = ("articles", "bad", "depth", "good", "inside", "link", "named", "own", "parent", "silent", "tag", "within")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
+        self.good = self.bad = self.depth = self.articles = 0
+        self.named = self.within = self.inside = self.silent = self.link = False
+        self.own = (False, False, False)
         if parent is None:
-            self.good = self.bad = self.depth = 0
-            self.silent = self.link = False
             return
-        self.good, self.bad, self.depth = parent.good, parent.bad, parent.depth + 1
+        self.depth = parent.depth + 1
         self.silent, self.link = parent.silent or tag in SILENT, parent.link or tag in LINKS
-        good, bad = tag in GOOD_TAGS, tag in BAD_TAGS or (tag == "header" and not parent.good)
+        good, bad, named = tag in GOOD_TAGS, tag in BAD_TAGS and not (tag == "address" and parent.inside), False
+        main = tag == "main"
         if attributes and ("=" in attributes or "hidden" in attributes):
             for m in ATTRIBUTE.finditer(attributes):
                 key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-                if key in ("class", "id"):
-                    bad |= BAD_NAMES.search(value) is not None
+                if key in ("class", "id") and tag not in ("html", "body"):
+                    named |= BAD_NAMES.search(HEAD_NAMES.sub("", value) if parent.inside else value) is not None
                     good |= GOOD_NAMES.search(value) is not None
                 elif key == "role":
-                    bad, good = bad or value in BAD_ROLES, good or value in GOOD_ROLES
+                    bad, good, main = bad or value in BAD_ROLES, good or value in GOOD_ROLES, main or value == "main"
                 elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                     self.silent = True
-        if bad:
+        self.own = good, bad, named
+        self.inside = parent.inside or main or tag == "article"
+        # Elements around the page's main part are its frame; several articles may be a list of teasers or comments.
+        if main or (tag == "article" and not parent.inside):
+            up = parent
+            while up is not None and 0 <= up.articles < 2:
+                up.articles += 1
+                up = up.parent
+            while main and parent is not None and parent.articles >= 0:
+                parent.articles, parent = -1, parent.parent
+
+    def settle(self) -> None:
+        """Sums up what ancestors, settled before, and the element itself say of its blocks.
+
+        A bad name says nothing on an element around main or a single article, and a good element inside offsets it.
+        """
+        up, (good, bad, named) = self.parent, self.own
+        self.good, self.bad, self.named, self.within = up.good, up.bad, up.named, up.within
+        if bad or (self.tag == "header" and not up.good):
             self.bad += 1
+        elif named and self.articles != 1 and self.articles >= 0:
+            self.named = self.within = True
         elif good:
             self.good += 1
+            self.named = False
 
 
 class Block:
@@ -95,6 +123,7 @@ def blocks(page: str) -> list[Block]:
     """The non-empty text blocks of a page, in order, with their innermost element."""
     out: list[Block] = []
     top = node = Node("#", None, "")
+    nodes: list[Node] = []
     current = Block(top)
     at, n = 0, len(page)
 
@@ -160,7 +189,10 @@ def blocks(page: str) -> list[Block]:
                     node = node.parent
         if tag not in VOID and not m[3].rstrip().endswith("/"):
             node = Node(tag, node, m[3])
+            nodes.append(node)
     flush(top)
+    for x in nodes:
+        x.settle()
     return out
 
 
@@ -179,7 +211,9 @@ def costs(b: Block) -> tuple[int, int]:
         boiler += 1
     if node.bad:
         boiler += 60
-    elif node.good:
+    elif node.named:
+        boiler += NAME_COST
+    elif node.good and not node.within:
         content += 40
     if b.text[0] in "©®" or b.text.lower().startswith("copyright"):
         boiler += 8

@@ -159,6 +159,18 @@ def test_html():
     assert html_extract.extract("<p>x < y</p><!-- open") == "x < y"
 
 
+def test_html_names_do_not_decide_alone():
+    text = "A first sentence of the article, which says enough to be read. And a second one."
+    article = f"<article><header class='entry-header'><h1>Head line</h1></header><p>{text}</p><address>12 Long Street, Old Town.</address><div class='share'>Share this now</div></article>"
+    want = f"Head line {text} 12 Long Street, Old Town."
+    side = "<div class='sidebar'><p>Sign up for our letter.</p></div><div id='comments'><p>Nice one, I liked it.</p></div>"
+    assert html_extract.extract(f"<body class='has-sidebar'>{article}{side}</body>") == want
+    assert html_extract.extract(f"<body><div class='layout with-sidebar'>{article}</div>{side}</body>") == want
+    assert html_extract.extract(f"<div class='with-sidebar'><div class='content'><p>{text}</p></div>{side}</div>") == text
+    assert html_extract.extract(f"<div class='with-sidebar'><p>{text * 5}</p><p>{text * 6}</p></div>") == f"{text * 5} {text * 6}"
+    assert html_extract.extract(f"<div id='comments'><article><p><a href=x>One teaser</a></p></article><article><p><a href=x>Another</a></p></article></div><main><p>{text}</p></main>") == text
+
+
 def test_html_pages(spark):
     import html
 
