@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name
+from .sqltext import PIECE, let, quote, replaced, running_max, running_sum
 
 KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,23 +43,15 @@ HEX_CHANCE, CHANGE_CHANCE = 0.35, 0.1
 PLACEHOLDER = "[SECRET]"
 
 
-def _quote(pattern: str) -> str:
-    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _let(value: str, name: str, body: str) -> str:
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
-
-
 def _all(text: str, pattern: str) -> str:
     """Start, end and text of all leftmost non-overlapping matches, in order.
 
     The pieces between the matches and the matches themselves give the offsets.
     """
-    q = _quote(pattern)
-    fold = """aggregate(m, struct(0 AS k, length(p[0]) AS at, cast(array() AS array<struct<s:int,e:int,t:string>>) AS r),
-        (a, x) -> struct(a.k + 1 AS k, a.at + length(x) + length(p[a.k + 1]) AS at, concat(a.r, array(struct(a.at AS s, a.at + length(x) AS e, x AS t))) AS r), a -> a.r)"""
-    return _let(f"regexp_extract_all({text}, {q}, 0)", "m", f"CASE WHEN size(m) = 0 THEN cast(array() AS array<struct<s:int,e:int,t:string>>) ELSE {_let(f'split({text}, {q}, -1)', 'p', fold)} END")
+    q = quote(pattern)
+    ends = running_sum("transform(m, (x, i) -> length(get(p, i)) + length(x))")
+    found = let(f"split({text}, {q}, -1)", "p", let(ends, "ends", "transform(m, (x, i) -> struct(get(ends, i) - length(x) AS s, get(ends, i) AS e, x AS t))"))
+    return let(f"regexp_extract_all({text}, {q}, 0)", "m", f"CASE WHEN size(m) = 0 THEN cast(array() AS array<struct<s:int,e:int,t:string>>) ELSE {found} END")
 
 
 def _kind(found: str, keep: str, rank: int) -> str:
@@ -67,7 +60,7 @@ def _kind(found: str, keep: str, rank: int) -> str:
 
 def _phi(z: str) -> str:
     """The normal distribution function (Page's approximation)."""
-    return f"(1D / (1D + exp(-greatest(-300D, least(300D, {_let(z, 'zz', '1.5976D * zz + 0.07056D * zz * zz * zz')})))))"
+    return f"(1D / (1D + exp(-greatest(-300D, least(300D, {let(z, 'zz', '1.5976D * zz + 0.07056D * zz * zz * zz')})))))"
 
 
 def encoding(t: str) -> str:
@@ -79,35 +72,55 @@ def encoding(t: str) -> str:
 
 
 def battery(t: str, enc: str) -> str:
-    """SQL struct of p_random (battery) and p_text for a run and its encoding."""
-    plain = f"CASE {enc} WHEN 'base64' THEN translate({t}, '-_', '+/') WHEN 'base32' THEN {t} ELSE lower({t}) END"
-    letters = f"CASE {enc} " + " ".join(f"WHEN '{k}' THEN '{a}'" for k, a in ALPHABETS.items()) + " END"
-    values = "transform(sequence(1, length(u)), i -> cast(instr(al, substr(u, i, 1)) - 1 AS double))"
-    total = lambda x: f"aggregate({x}, 0D, (s, y) -> s + y)"
-    squares = total("transform(array_distinct(v), d -> power(size(filter(v, y -> y = d)), 2))")
+    """SQL struct of p_random (battery) and p_text for a run and its encoding.
+
+    One pass over the characters, a piece at a time, sums what the tests need.
+    """
+    plain = "CASE enc WHEN 'base64' THEN translate(w, '-_', '+/') WHEN 'base32' THEN w ELSE lower(w) END"
+    letters = "CASE enc " + " ".join(f"WHEN '{k}' THEN '{a}'" for k, a in ALPHABETS.items()) + " END"
+    squares = "aggregate(split(al, ''), 0D, (z, c) -> z + power(length(u) - length(replace(u, c, '')), 2))"
     chi = f"(a / n * {squares} - n - (a - 1)) / sqrt(2 * (a - 1) * (1 - 1 / n))"
-    n1 = total("transform(v, y -> CASE WHEN 2 * y >= a THEN 1D ELSE 0D END)")
-    changes = total("transform(v, (y, i) -> CASE WHEN i > 0 AND (2 * y >= a) <> (2 * v[greatest(i - 1, 0)] >= a) THEN 1D ELSE 0D END)")
-    runs = _let(n1, "h", _let("2 * h * (n - h) / n", "e", f"CASE WHEN e = 0 THEN 99D ELSE ({changes} - e) / sqrt(greatest(1e-9D, e * (e - 1) / (n - 1))) END"))
-    serial = _let(f"{total('v')} / n", "mu", f"{total('transform(v, (y, i) -> CASE WHEN i > 0 THEN (y - mu) * (v[greatest(i - 1, 0)] - mu) ELSE 0D END)')} / greatest(1e-9D, {total('transform(v, y -> (y - mu) * (y - mu))')}) * sqrt(n) + 1 / sqrt(n)")
+    # s, q, c: sums of values, of their squares and of neighbours' products; h: values in the upper half; g: changes of half.
+    upper = "CASE WHEN 2 * y >= a THEN 1D ELSE 0D END"
+    fields = {
+        "s": "z.s + y", "q": "z.q + y * y", "c": "z.c + CASE WHEN z.last < 0 THEN 0D ELSE z.last * y END", "h": f"z.h + {upper}",
+        "g": "z.g + CASE WHEN z.last >= 0 AND (2 * z.last >= a) <> (2 * y >= a) THEN 1D ELSE 0D END", "first": "CASE WHEN z.last < 0 THEN y ELSE z.first END", "last": "y",
+    }
+    step = let("cast(instr(al, x) - 1 AS double)", "y", "struct(" + ", ".join(f"{v} AS {k}" for k, v in fields.items()) + ")")
+    none = "struct(" + ", ".join(f"{-1 if k == 'last' else 0}D AS {k}" for k in fields) + ")"
+    sums = f"aggregate(regexp_extract_all(u, '.{{1,{PIECE}}}', 0), {none}, (o, part) -> aggregate(split(part, ''), o, (z, x) -> {step}))"
+    runs = let("2 * v.h * (n - v.h) / n", "e", "CASE WHEN e = 0 THEN 99D ELSE (v.g - e) / sqrt(greatest(1e-9D, e * (e - 1) / (n - 1))) END")
+    serial = let("v.s / n", "mu", "(v.c - mu * (2 * v.s - v.first - v.last) + (n - 1) * mu * mu) / greatest(1e-9D, v.q - n * mu * mu) * sqrt(n) + 1 / sqrt(n)")
     two = lambda z: f"2 * {_phi(f'-abs({z})')}"
     random = f"least(1D, 3 * least({_phi(f'-({chi})')}, {two(runs)}, {two(serial)}))"
     classes = "length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '[a-z]+', 'l'), '[A-Z]+', 'u'), '[0-9]+', 'd'), '[+/_-]+', 's')) - 1"
     text = f"CASE WHEN enc = 'hex' THEN power({HEX_CHANCE}D, n) ELSE {_phi(f'-(({classes}) - {CHANGE_CHANCE}D * (n - 1)) / sqrt({CHANGE_CHANCE * (1 - CHANGE_CHANCE)}D * (n - 1))')} END"
-    inner = _let(values, "v", _let("cast(size(v) AS double)", "n", _let("cast(length(al) AS double)", "a", f"struct({random} AS p_random, {text} AS p_text)")))
-    return _let(enc, "enc", _let(t, "w", _let(letters.replace(enc, "enc", 1), "al", _let(plain.replace(f"CASE {enc}", "CASE enc", 1), "u", inner))))
+    inner = let("cast(length(u) AS double)", "n", let("cast(length(al) AS double)", "a", let(sums, "v", f"struct({random} AS p_random, {text} AS p_text)")))
+    return let(enc, "enc", let(t, "w", let(letters, "al", let(plain, "u", inner))))
+
+
+def _free(found: str, base: str) -> str:
+    """Those of the sorted, disjoint ``found`` that overlap none of ``base``.
+
+    Starts of base spans and ends of the found ones are put in one order, in which
+    the greatest base end so far tells whether one reaches into a found span.
+    """
+    events = "sort_array(concat(transform(b, y -> struct(y.s AS p, 1 AS g, y.e AS v)), transform(f, x -> struct(x.e AS p, 0 AS g, -1 AS v))))"
+    reach = let(running_max("transform(ev, y -> y.v)"), "r", "transform(filter(transform(ev, (y, i) -> struct(y.g AS g, get(r, i) AS v)), y -> y.g = 0), y -> y.v)")
+    merged = let(let(events, "ev", reach), "far", "filter(f, (x, i) -> get(far, i) <= x.s)")
+    return let(base, "b", let(found, "f", f"CASE WHEN size(b) = 0 OR size(f) = 0 THEN f ELSE {merged} END"))
 
 
 def _random(text: str, base: str) -> str:
     """Spans of the runs that the battery and the false-discovery control accept."""
-    free = f"filter({_all(text, RUN)}, x -> NOT exists(b, y -> y.s < x.e AND x.s < y.e))"
+    free = _free(_all(text, RUN), base)
     known = f"filter(transform({free}, x -> struct(x.s AS s, x.e AS e, x.t AS t, {encoding('x.t')} AS enc)), x -> x.enc IS NOT NULL)"
-    tested = f"transform(f, x -> struct(x.s AS s, x.e AS e, {battery('x.t', 'x.enc')} AS p))"
-    limit = f"{FDR}D * array_max(transform(sort_array(transform(g, x -> x.p.p_text)), (p, i) -> CASE WHEN p <= {FDR}D * (i + 1) / size(g) THEN i + 1 ELSE 0 END)) / size(g)"
-    accepted = f"transform(filter(g, x -> x.p.p_text <= lim AND x.p.p_random >= {ALPHA}D), x -> struct(x.s AS s, 3 AS k, x.e AS e))"
+    tested = f"transform(h, y -> struct(y.s AS s, y.e AS e, {battery('y.t', 'y.enc')} AS p))"
+    limit = f"{FDR}D * array_max(transform(sort_array(transform(d, x -> x.p.p_text)), (p, i) -> CASE WHEN p <= {FDR}D * (i + 1) / size(d) THEN i + 1 ELSE 0 END)) / size(d)"
+    accepted = f"transform(filter(d, x -> x.p.p_text <= lim AND x.p.p_random >= {ALPHA}D), x -> struct(x.s AS s, 3 AS k, x.e AS e))"
     nothing = "cast(array() AS array<struct<s:int,k:int,e:int>>)"
-    chosen = f"CASE WHEN size(f) = 0 THEN {nothing} ELSE {_let(tested, 'g', _let(limit, 'lim', accepted))} END"
-    return f"CASE WHEN {text} RLIKE '[0-9]' THEN {_let(base, 'b', _let(known, 'f', chosen))} ELSE {nothing} END"
+    chosen = f"CASE WHEN size(h) = 0 THEN {nothing} ELSE {let(tested, 'd', let(limit, 'lim', accepted))} END"
+    return f"CASE WHEN {text} RLIKE '[0-9]' THEN {let(known, 'h', chosen)} ELSE {nothing} END"
 
 
 def scan(df: DataFrame, text_col: str = "text", base_col: str = "base_spans", all_col: str = "spans") -> DataFrame:
@@ -115,8 +128,8 @@ def scan(df: DataFrame, text_col: str = "text", base_col: str = "base_spans", al
     t, low = fresh_name(df.columns, "t_"), fresh_name(df.columns, "low_")
     d = df.drop(base_col, all_col).withColumn(t, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
     nothing = "cast(array() AS array<struct<s:int,k:int,e:int>>)"
-    hint = f"{_let(f'lower({t})', 'z', ' OR '.join(f'contains(z, {chr(39)}{w}{chr(39)})' for w in ('passw', 'secret', 'token', 'apikey', 'api_key')))}"
-    assign = f"CASE WHEN {hint} THEN {_kind(_all(t, ASSIGN), f'length(regexp_extract(x.t, {_quote(ASSIGN)}, 1)) >= 12', 0)} ELSE {nothing} END"
+    hint = f"{let(f'lower({t})', 'z', ' OR '.join(f'contains(z, {chr(39)}{w}{chr(39)})' for w in ('passw', 'secret', 'token', 'apikey', 'api_key')))}"
+    assign = f"CASE WHEN {hint} THEN {_kind(_all(t, ASSIGN), f'length(regexp_extract(x.t, {quote(ASSIGN)}, 1)) >= 12', 0)} ELSE {nothing} END"
     access = f"CASE WHEN contains({t}, 'AKIA') THEN {_kind(_all(t, ACCESS), 'x.e - x.s >= 18', 1)} ELSE {nothing} END"
     d = d.withColumn(base_col, F.expr(f"sort_array(concat({assign}, {access}, {_kind(_all(t, HEX), 'true', 2)}))"))
     return d.withColumn(all_col, F.expr(f"sort_array(concat(`{base_col}`, {_random(t, f'`{base_col}`')}))")).drop(t)
@@ -133,7 +146,5 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     spans = fresh_name(df.columns, "spans_")
     base = fresh_name([*df.columns, spans], "base_")
     d = scan(df, text_col, base, spans)
-    fold = f"""aggregate({spans}, struct(0 AS at, '' AS r),
-        (a, x) -> CASE WHEN x.s >= a.at THEN struct(x.e AS at, concat(a.r, substring(`{text_col}`, a.at + 1, x.s - a.at), '{PLACEHOLDER}') AS r)
-                       ELSE struct(greatest(a.at, x.e) AS at, a.r AS r) END, a -> concat(a.r, substring(`{text_col}`, a.at + 1)))"""
-    return d.withColumn(text_col, F.expr(f"CASE WHEN size({spans}) > 0 THEN {fold} ELSE `{text_col}` END")).select(*(F.col(f"`{c}`") for c in df.columns))
+    new = replaced(f"`{text_col}`", f"`{spans}`", "s", "e", quote(PLACEHOLDER))
+    return d.withColumn(text_col, F.expr(f"CASE WHEN size({spans}) > 0 THEN {new} ELSE `{text_col}` END")).select(*(F.col(f"`{c}`") for c in df.columns))
