@@ -21,8 +21,12 @@ very threshold.
    Of short lists it checks the pairs across components, so no link is lost that
    could join two of them.  Documents of longer lists (more than ``LIST_LIMIT``)
    are joined anew by prefixes of their full sets, rarest shingles first, which
-   is exact and lets a passage of very many documents form no list; their lists
-   are settled by heads first too.
+   is exact and lets a passage of very many documents form no list.  There, the
+   smaller set of a pair needs a shorter prefix than the larger one, so most
+   members of a list only meet those few; and a pair counts only if the places
+   of its common shingle leave room for a similarity of 0.8.  A template that is
+   most of many documents, none of them similar, thus pairs none of them.  Their
+   lists are settled by heads first too.
 
 Defined results: null or blank text has an empty set, links with nothing and
 stays; a null id links with nothing and stays; rows of one id are one document;
@@ -48,7 +52,9 @@ PLAUSIBLE = 0.8 - 6 * (0.16 / K) ** 0.5
 #: Ids of candidates that are broadcast to thin the text scan; beyond it, a shuffled join does that.
 BROADCAST_IDS = 250_000
 #: Lists up to this size are paired in round two; documents of longer ones are joined by prefixes.
-LIST_LIMIT = 256
+LIST_LIMIT = 64
+#: Shingles that sets of sizes x and y have in common if their similarity is 0.8, and as its share of y if x is not smaller.
+LEAST, OWN = "(4 * ({x} + {y}) + 8) div 9", "(8 * {x} + 8) div 9"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.ndarray]:
@@ -66,7 +72,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
             yield np.zeros(0, U)
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, digest of the set, sketch (K smallest hashes as bytes)."""
     ship(df.sparkSession)
 
@@ -213,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``df``."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     every = stage(sketches(docs, shingle=shingle), "sketches")
@@ -237,12 +243,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rest = None
     if not long_docs.isEmpty():
         rest = _lists(prefixes(docs, long_docs, shingle), "prefix_lists")
-        pairs = pairs.union(_star(rest)).distinct()
+        pairs = pairs.union(_star(rest.where(_room("rank", "n_shingles", "head_rank", "head_n")))).distinct()
     pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs2")
     found, labels = _more(pairs, found, labels, reps, docs, shingle)
     if rest is not None:
-        last = _crossing(_unsettled(rest, labels)).join(tested.union(pairs), ["a", "b"], "left_anti")
-        found, labels = _more(stage(last, "pairs3"), found, labels, reps, docs, shingle)
+        last = stage(_crossing_prefixes(_unsettled(rest, labels)).join(tested.union(pairs), ["a", "b"], "left_anti"), "pairs3")
+        found, labels = _more(last, found, labels, reps, docs, shingle)
 
     named = classes.join(labels, classes.rep == labels.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("doc_id", "n_shingles", F.when(F.expr("doc_id is not null and n_shingles > 0"), F.col("digest")).alias("digest")).join(named, "digest", "left")
@@ -253,8 +259,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def _lists(p: DataFrame, what: str) -> DataFrame:
     """The postings of keys with two documents or more, with size and head (smallest document) of their list."""
     p = stage(p, what + "_postings")
-    heads = p.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    out = stage(p.join(heads.select("key", "size", F.col("h.doc_id").alias("head"), F.col("h.n_shingles").alias("head_n")), "key"), what)
+    own = [c for c in p.columns if c != "key"]
+    heads = p.groupBy("key").agg(F.min(F.struct(*own)).alias("h"), F.count("*").alias("size")).where("size > 1")
+    named = {"doc_id": "head", "n_shingles": "head_n", "rank": "head_rank"}
+    out = stage(p.join(heads.select("key", "size", *(F.col(f"h.{c}").alias(named[c]) for c in own)), "key"), what)
     drop_stage(p)
     return out
 
@@ -271,7 +279,8 @@ def _star(lists: DataFrame) -> DataFrame:
 
 def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Lists whose members are in several components, with the component of each member."""
-    placed = lists.join(labels, lists.doc_id == labels.node, "left").select("key", "size", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    rank = [c for c in ("rank",) if c in lists.columns]
+    placed = lists.join(labels, lists.doc_id == labels.node, "left").select("key", "size", "doc_id", "n_shingles", *rank, F.coalesce("component", "doc_id").alias("component"))
     placed = stage(placed, "placed")
     keys = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
     out = stage(placed.join(keys, "key"), "unsettled")
@@ -286,6 +295,21 @@ def _crossing(unsettled: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b and ca <> cb").where(_fits("na", "nb")).select("a", "b").distinct()
 
 
+def _room(rx: str, nx: str, ry: str, ny: str):
+    """Whether a first common shingle at these places (from 1) leaves enough behind it for a similarity of 0.8."""
+    least = LEAST.format(x=nx, y=ny)
+    return F.expr(f"{rx} <= {nx} - {least} + 1 AND {ry} <= {ny} - {least} + 1")
+
+
+def _crossing_prefixes(unsettled: DataFrame) -> DataFrame:
+    """Like _crossing, of lists of prefixes: the smaller set of a pair (or smaller id) is in its own, shorter prefix."""
+    a = unsettled.where(f"rank <= n_shingles - {OWN.format(x='n_shingles')} + 1")
+    a = a.select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("nx"), F.col("rank").alias("rx"), F.col("component").alias("cx"))
+    b = unsettled.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("ny"), F.col("rank").alias("ry"), F.col("component").alias("cy"))
+    d = a.join(b, "key").where("cx <> cy AND (nx < ny OR nx = ny AND x < y)").where(_fits("nx", "ny")).where(_room("rx", "nx", "ry", "ny"))
+    return d.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _more(pairs: DataFrame, found: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Links and labels with those of further pairs."""
     more = stage(links(pairs, reps, docs, shingle), "more")
@@ -300,7 +324,7 @@ def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """key, doc_id, n_shingles: the rarest shingles of each document, so many that similar documents share one.
+    """key, doc_id, n_shingles, rank: the rarest shingles of each document, so many that similar documents share one.
 
     Sets of similarity 0.8 share at least ceil(0.8 n) of the n elements of
     either, so in any common order of all elements the first n - ceil(0.8 n) + 1
@@ -322,7 +346,7 @@ def prefixes(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     often = every.groupBy("key").agg(F.count("*").alias("n"))
     order = Window.partitionBy("doc_id").orderBy("n", "key")
     ranked = every.join(often, "key").withColumn("rank", F.row_number().over(order))
-    return ranked.where("rank <= n_shingles - (4 * n_shingles + 4) div 5 + 1").select("key", "doc_id", "n_shingles")
+    return ranked.where("rank <= n_shingles - (4 * n_shingles + 4) div 5 + 1").select("key", "doc_id", "n_shingles", "rank")
 
 
 ORACLE = r"""
