@@ -3,12 +3,11 @@
 Base counts come first (words, symbols, repeated lines, words in repeated
 three-word windows).  The method then compares two histograms of each document
 with references: its character classes, and its common words (function words of
-several languages).  The references are the summed histograms of all documents
-of each language of the corpus, and of all together.  All documents are compared
-with those of the languages with at least ``SHARE`` of all words (never more than
-1 / SHARE); documents of another language also with that of their own, if it has
-at least ``MIN_OWN`` words, and if it has less, no distance is judged.
-The distance is Jensen-Shannon (base 2, square root) to the nearest reference.
+several languages).  The reference of a language is the summed histogram of all
+documents of that language; a document is compared with its own language's only,
+so its verdict doesn't depend on what share of the corpus that language has.  A
+language of less than ``MIN_OWN`` words has none, and no distance is judged.
+The distance is Jensen-Shannon (base 2, square root).
 A document fails if a distance is over a limit that is wider for short texts,
 and only if the text is long enough to be judged at all.
 
@@ -21,9 +20,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, stage
@@ -32,10 +29,12 @@ COMMON = sorted(set((
     "the of and to a in is it that for on with as are this by be or an at was from "
     "de la le et les des en un une du que qui dans par pour au sur est pas avec "
     "der die und den von zu das mit sich auf für ist im dem nicht ein eine als "
-    "el y los del se las por para con no una su al lo"
+    "el y los del se las por para con no una su al lo "
+    "di che il sono non della nel come più anche è o que do da em um não os na mais dos "
+    "het een van dat op te voor met zijn niet aan och att det som på är av för till inte "
+    "w z się nie jest że przez oraz i в не на что с по как это из и ve bir bu için ile çok"
 ).split()))
-SHARE = 0.005
-MIN_OWN, OWN_BROADCAST = 1000, 10_000
+MIN_OWN, BROADCAST = 1000, 10_000
 MIN_WORDS, MIN_COMMON, MIN_CHARS = 50, 10, 200
 CHAR_LIMIT, CHAR_SLACK = 0.26, 0.8
 WORD_LIMIT, WORD_SLACK = 0.62, 0.6
@@ -85,88 +84,54 @@ def measure(df: DataFrame, text_col: str = "text", into: str = "m") -> DataFrame
     return d.select(*(F.col(f"`{c}`") for c in df.columns), F.struct(*(F.expr(x).alias(k) for k, x in fields.items())).alias(into))
 
 
-def references(measured: DataFrame, lang_col: str = "lang", m: str = "m") -> list[dict]:
-    """Character and common-word histograms of the large languages, and of all ("*").
-
-    Bounded by 1 / SHARE + 1 entries of a few dozen numbers, whatever the corpus.
-    """
+def references(measured: DataFrame, lang_col: str = "lang", m: str = "m") -> DataFrame:
+    """lang, n_words, ref: the histograms of every language with at least MIN_OWN words, as shares; null is a language too."""
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang")
-    sums = [F.sum(F.col(f"{m}.chars")[k]).alias(f"c{k}") for k in range(len(CLASSES) + 1)]
-    chars = measured.groupBy(lang).agg(F.sum(f"{m}.n_words").alias("n"), *sums)
-    total = chars.agg(F.sum("n")).first()[0] or 0
-    big = {r["lang"]: r for r in chars.where(F.col("n") >= max(1.0, SHARE * total)).collect()}
-    whole = chars.agg(*(F.sum(f"c{k}").alias(f"c{k}") for k in range(len(CLASSES) + 1))).first()
-    words = measured.select(lang, F.explode(F.arrays_zip(f"{m}.hist.words", f"{m}.hist.counts")).alias("x")).groupBy("lang", F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("n"))
-    per, every = {}, {}
-    for r in words.where(F.col("lang").isin(list(big))).collect() if big else []:
-        per.setdefault(r["lang"], {})[r["w"]] = r["n"]
-    for r in words.groupBy("w").agg(F.sum("n").alias("n")).collect():
-        every[r["w"]] = r["n"]
-    out = []
-    for name, row, hist in [("*", whole, every), *((k, big[k], per.get(k, {})) for k in sorted(big))]:
-        c = [float(row[f"c{k}"] or 0) for k in range(len(CLASSES) + 1)]
-        if sum(c):
-            out.append({"lang": name, "chars": [x / sum(c) for x in c], "words": {w: n / sum(hist.values()) for w, n in sorted(hist.items())}})
-    return out
-
-
-def own_references(measured: DataFrame, others: Column, lang: Column, m: str, key: str, own: str) -> DataFrame:
-    """key, own: of each language of ``others`` with at least MIN_OWN words an array of its reference."""
-    d = measured.where(others).select(lang.alias(key), m)
-    sizes = range(len(CLASSES) + 1)
-    chars = d.groupBy(key).agg(F.sum(f"{m}.n_words").alias("n"), F.array(*(F.sum(F.col(f"{m}.chars")[k]) for k in sizes)).alias("c")).where(F.col("n") >= MIN_OWN)
-    words = d.select(key, F.explode(F.arrays_zip(f"{m}.hist.words", f"{m}.hist.counts")).alias("x")).groupBy(key, F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("n"))
-    words = words.groupBy(key).agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("ns"))
+    d, sizes = measured.select(lang, m), range(len(CLASSES) + 1)
+    chars = d.groupBy("lang").agg(F.sum(f"{m}.n_words").alias("n_words"), F.array(*(F.sum(F.col(f"{m}.chars")[k]) for k in sizes)).alias("c")).where(F.col("n_words") >= MIN_OWN)
+    words = d.select("lang", F.explode(F.arrays_zip(f"{m}.hist.words", f"{m}.hist.counts")).alias("x")).groupBy("lang", F.col("x.words").alias("w")).agg(F.sum("x.counts").alias("n"))
+    words = words.groupBy("lang").agg(F.sum("n").alias("all"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("w", "n")))).alias("ns"))
     shares = "transform(c, x -> x / aggregate(c, 0L, (s, y) -> s + y))"
     parts = "coalesce(transform_values(ns, (w, x) -> x / all), map_from_arrays(cast(array() AS array<string>), cast(array() AS array<double>)))"
-    return chars.join(words, key, "left").select(key, F.expr(f"array(struct(`{key}` AS lang, {shares} AS chars, {parts} AS words))").alias(own))
+    return stage(chars.join(words, "lang", "left").select("lang", "n_words", F.expr(f"struct({shares} AS chars, {parts} AS words)").alias("ref")), "references")
 
 
-def with_own(measured: DataFrame, refs: list[dict], lang_col: str, m: str) -> tuple[DataFrame, Column, str | None]:
-    """``measured`` with the reference of a document's language if it has one outside ``refs``.
+def with_reference(measured: DataFrame, refs: DataFrame, lang_col: str, ref: str) -> DataFrame:
+    """``measured`` with the reference of each document's language, null if it has none.
 
-    Also the condition that a document's language has a reference at all, and the
-    new column, if any.  The table of references is sent to every task only up to
-    OWN_BROADCAST languages; beyond, just the documents of such languages are
-    shuffled, none of which has SHARE of the words.
+    The table of references is sent to every task up to BROADCAST languages.
+    Beyond, that many with the most words are, and the documents of the others,
+    each of which has less than 1 / BROADCAST of the words, are shuffled.
     """
+    key = fresh_name([*measured.columns, ref], "key_")
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))
-    others = ~lang.isin([r["lang"] for r in refs[1:]])
-    if not measured.where(others).groupBy(lang).agg(F.sum(f"{m}.n_words").alias("n")).where(F.col("n") >= MIN_OWN).take(1):
-        return measured, ~others, None
-    key, own = fresh_name(measured.columns, "key_"), fresh_name(measured.columns, "own_")
-    table = stage(own_references(measured, others, lang, m, key, own), "own")
-    if table.count() <= OWN_BROADCAST:
-        d = measured.join(F.broadcast(table), lang == F.col(key), "left").drop(key)
-    else:
-        d = measured.where(others).join(table, lang == F.col(key), "left").drop(key)
-        d = measured.where(~others).withColumn(own, F.lit(None).cast(table.schema[own].dataType)).unionByName(d)
-    return d, ~others | F.col(own).isNotNull(), own
+    named = refs.select(F.col("lang").alias(key), F.col("ref").alias(ref), "n_words")
+    if refs.count() <= BROADCAST:
+        return measured.join(F.broadcast(named.drop("n_words")), lang == F.col(key), "left").drop(key)
+    large = stage(named.orderBy(F.desc("n_words"), key).limit(BROADCAST).drop("n_words"), "large")
+    d = measured.join(F.broadcast(large), lang == F.col(key), "left").drop(key)
+    rest = named.drop("n_words").join(F.broadcast(large.select(key)), key, "left_anti")
+    others = d.where(F.col(ref).isNull()).drop(ref).join(rest, lang == F.col(key), "left").drop(key)
+    return d.where(F.col(ref).isNotNull()).unionByName(others)
 
 
 def _term(a: str, b: str) -> str:
     return f"(CASE WHEN {a} > 0 THEN {a} * log2(2 * {a} / ({a} + {b})) ELSE 0D END + CASE WHEN {b} > 0 THEN {b} * log2(2 * {b} / ({a} + {b})) ELSE 0D END) / 2"
 
 
-def judge(measured: DataFrame, refs: list[dict], m: str = "m", prefix: str = "", lang_col: str = "lang") -> DataFrame:
+def judge(measured: DataFrame, refs: DataFrame, m: str = "m", prefix: str = "", lang_col: str = "lang") -> DataFrame:
     """``measured`` with char_distance, word_distance, base_failed and kept, each after ``prefix``."""
-    measured, known, own = with_own(measured, refs, lang_col, m) if refs else (measured, F.lit(False), None)
-    given = "from_json('" + json.dumps(refs, ensure_ascii=True).replace("\\", "\\\\") + "', 'array<struct<lang:string,chars:array<double>,words:map<string,double>>>')"
-    if own:
-        given = f"CASE WHEN `{own}` IS NULL THEN {given} ELSE concat({given}, `{own}`) END"
+    r = fresh_name(measured.columns, "ref_")
+    d = with_reference(measured, refs, lang_col, r)
     add = "0D, (s, x) -> s + x"
     n_chars = f"aggregate({m}.chars, 0L, (s, x) -> s + x)"
     n_common = f"aggregate({m}.hist.counts, 0L, (s, x) -> s + x)"
-    by_char = f"transform({given}, r -> aggregate(zip_with({m}.chars, r.chars, (x, b) -> {_let('x / n', 'a', _term('a', 'b'))}), {add}))"
-    q = "coalesce(r.words[w], 0D)"
+    by_char = f"aggregate(zip_with({m}.chars, `{r}`.chars, (x, b) -> {_let('x / n', 'a', _term('a', 'b'))}), {add})"
+    q = f"coalesce(`{r}`.words[w], 0D)"
     terms = f"zip_with({m}.hist.words, {m}.hist.counts, (w, x) -> {_let('struct(x / n AS p, ' + q + ' AS q)', 'z', _term('z.p', 'z.q'))})"
     absent = f"0.5D * (1D - aggregate(transform({m}.hist.words, w -> {q}), {add}))"
-    by_word = f"transform({given}, r -> aggregate({terms}, {add}) + {absent})"
-    far = lambda n, by, least: f"CASE WHEN {n} >= {least} THEN {_let(n, 'n', f'sqrt(greatest(0D, array_min({by})))')} END"
-    d = measured.withColumn(f"{prefix}char_distance", F.when(known, F.expr(far(n_chars, by_char, MIN_CHARS))) if refs else F.lit(None).cast("double"))
-    d = d.withColumn(f"{prefix}word_distance", F.when(known, F.expr(far(n_common, by_word, MIN_COMMON))) if refs else F.lit(None).cast("double"))
-    if own:
-        d = d.drop(own)
+    far = lambda n, by, least: F.expr(f"CASE WHEN `{r}` IS NOT NULL AND {n} >= {least} THEN {_let(n, 'n', f'sqrt(greatest(0D, {by}))')} END")
+    d = d.withColumn(f"{prefix}char_distance", far(n_chars, by_char, MIN_CHARS)).withColumn(f"{prefix}word_distance", far(n_common, f"aggregate({terms}, {add}) + {absent}", MIN_COMMON)).drop(r)
     base = (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
     odd_chars = F.coalesce(F.col(f"{prefix}char_distance") > F.expr(f"{CHAR_LIMIT} + {CHAR_SLACK} / sqrt({n_chars})"), F.lit(False))
     odd_words = F.coalesce(F.col(f"{prefix}word_distance") > F.expr(f"{WORD_LIMIT} + {WORD_SLACK} / sqrt({n_common})"), F.lit(False))
@@ -197,14 +162,13 @@ g2 AS (SELECT r, s, count(*) OVER (PARTITION BY r, win) AS n FROM g),
 rep AS (SELECT r, count(DISTINCT s + k) AS n FROM g2, unnest([0, 1, 2]) AS q(k) WHERE n > 1 GROUP BY r),
 cw AS (SELECT r, lang, w, count(*) AS n FROM (SELECT r, lang, unnest(regexp_split_to_array(lower(t), '[\x00-\x60\x7B-\x7F]+')) AS w FROM d) WHERE w IN ({QUOTED}) GROUP BY ALL),
 lc AS (SELECT lang, sum(len(w)) AS n, {", ".join(f"sum(c{k}) AS c{k}" for k in range(_N))} FROM a GROUP BY lang),
-refs AS (SELECT lang, {", ".join(f"c{k} / ({' + '.join(f'c{j}' for j in range(_N))}) AS q{k}" for k in range(_N))} FROM
-    (SELECT '*' AS lang, {", ".join(f"sum(c{k}) AS c{k}" for k in range(_N))} FROM lc UNION ALL SELECT * EXCLUDE n FROM lc WHERE n >= greatest(1, {SHARE} * (SELECT sum(n) FROM lc)))),
-rw0 AS (SELECT '*' AS lang, w, sum(n) AS n FROM cw GROUP BY w UNION ALL SELECT lang, w, sum(n) FROM cw WHERE lang IN (SELECT lang FROM refs) GROUP BY lang, w),
+refs AS (SELECT lang, {", ".join(f"c{k} / ({' + '.join(f'c{j}' for j in range(_N))}) AS q{k}" for k in range(_N))} FROM lc WHERE n >= {MIN_OWN}),
+rw0 AS (SELECT lang, w, sum(n) AS n FROM cw GROUP BY lang, w),
 rw AS (SELECT lang, w, n / sum(n) OVER (PARTITION BY lang) AS q FROM rw0),
-cd AS (SELECT r, min({" + ".join(_sql_term(f"(c{k} / n_chars)", f"q{k}") for k in range(_N))}) AS x FROM a, refs WHERE n_chars >= {MIN_CHARS} GROUP BY r),
+cd AS (SELECT r, {" + ".join(_sql_term(f"(c{k} / n_chars)", f"q{k}") for k in range(_N))} AS x FROM a JOIN refs USING (lang) WHERE n_chars >= {MIN_CHARS}),
 tot AS (SELECT r, sum(n) AS n FROM cw GROUP BY r),
-wd0 AS (SELECT cw.r, refs.lang, cw.n / tot.n AS p, coalesce(rw.q, 0) AS q FROM cw JOIN tot USING (r) CROSS JOIN refs LEFT JOIN rw ON rw.lang = refs.lang AND rw.w = cw.w WHERE tot.n >= {MIN_COMMON}),
-wd AS (SELECT r, min(x) AS x FROM (SELECT r, lang, sum({_sql_term("p", "q")}) + 0.5 * (1 - sum(q)) AS x FROM wd0 GROUP BY r, lang) GROUP BY r),
+wd0 AS (SELECT cw.r, cw.n / tot.n AS p, rw.q FROM cw JOIN tot USING (r) JOIN refs USING (lang) JOIN rw ON rw.lang = cw.lang AND rw.w = cw.w WHERE tot.n >= {MIN_COMMON}),
+wd AS (SELECT r, sum({_sql_term("p", "q")}) + 0.5 * (1 - sum(q)) AS x FROM wd0 GROUP BY r),
 b AS (SELECT a.*, coalesce(rep.n, 0) AS reps, tot.n AS n_common, sqrt(greatest(0, cd.x)) AS cx, sqrt(greatest(0, wd.x)) AS wx,
     len(w) < {MIN_WORDS} OR 100 * coalesce(rep.n, 0) > 50 * len(w) AS base_failed FROM a LEFT JOIN rep USING (r) LEFT JOIN tot USING (r) LEFT JOIN cd USING (r) LEFT JOIN wd USING (r))
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
