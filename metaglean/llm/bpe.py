@@ -25,7 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import fresh_name, ship
 
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_WORDS = 400_000
@@ -182,13 +182,14 @@ def _mapped(df: DataFrame, path: str, source: str, added: dict[str, pa.DataType]
     shared = load(df.sparkSession, path)
     lower = {c.lower() for c in added}
     kept = [c for c in df.columns if c.lower() not in lower]
+    given = fresh_name([*df.columns, *added], "source_")
     names = {pa.int64(): "bigint", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
     schema = ", ".join([*(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}" for c in kept), *(f"`{c}` {names[t]}" for c, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _tokenizer(shared)
         for batch in batches:
-            rows = [f(t, null if x is None else x) for x in batch.column(batch.schema.names.index("__source")).to_pylist()]
+            rows = [f(t, null if x is None else x) for x in batch.column(len(kept)).to_pylist()]
             columns = [batch.column(i) for i in range(len(kept))]
             columns += [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(added.values())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *added])
@@ -196,4 +197,4 @@ def _mapped(df: DataFrame, path: str, source: str, added: dict[str, pa.DataType]
     from pyspark.sql import functions as F
 
     quote = lambda c: F.col("`" + c.replace("`", "``") + "`")
-    return df.select(*(quote(c) for c in kept), quote(source).alias("__source")).mapInArrow(run, schema)
+    return df.select(*(quote(c) for c in kept), quote(source).alias(given)).mapInArrow(run, schema)

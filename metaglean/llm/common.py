@@ -8,11 +8,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 _SHIPPED: set[str] = set()
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     """A fresh sub-folder of the folder that all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent (tests on one machine) a temporary folder stands in.
+    setting is absent and all tasks run in the driver's own process (tests) a
+    temporary folder stands in; elsewhere its absence is an error, for executors
+    would each write to a disk of their own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.metaglean.shared", None)
         if not base:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all executors of {master} share")
             base = "file://" + tempfile.mkdtemp(prefix="metaglean-")
             spark.conf.set("spark.metaglean.shared", base)
     return f"{base.rstrip('/')}/metaglean/{uuid.uuid4().hex}"
@@ -39,6 +48,7 @@ def write_stage(df: DataFrame, what: str, codec: str = "zstd") -> str:
     """Writes ``df`` to the shared folder; returns the path."""
     path = f"{shared_dir(df.sparkSession)}-{what}"
     df.write.option("compression", codec).parquet(path)
+    forget_at_exit(df.sparkSession, path)
     return path
 
 
@@ -53,12 +63,42 @@ def stage(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Has the driver remove ``path`` when it ends, or the ``scratch`` around it before."""
+    fs, p = _at(spark, path)
+    fs.deleteOnExit(p)
+    made = _SCRATCH.get()
+    if made is not None:
+        made.append(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
+
+
 def drop_stage(staged: DataFrame) -> None:
     """Removes the table of ``stage`` when no later plan reads it."""
-    spark, path = staged.sparkSession, staged.stage_path
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    remove(staged.sparkSession, staged.stage_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes at its end what stages inside have written, but for paths taken off the list."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield made
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            remove(spark, path)
 
 
 def ship(spark: SparkSession) -> None:

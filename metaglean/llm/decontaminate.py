@@ -7,8 +7,9 @@ count over all documents.  A document position whose shingle is the prefix of
 some window fixes where that window would start (the positional bound) and end
 (the length bound); the words there are then compared exactly.
 
-The benchmark side is cut into blocks of at most ``BLOCK_BYTES`` of window
-text, each broadcast; documents are scanned once a block and never shuffled.
+The benchmark side is cut into blocks of about ``BLOCK_BYTES`` of window text,
+window by window, so a long item is in all of them; each block is broadcast.
+Documents are scanned once a block and never shuffled.
 
 Defined results: null text has no words; a document or item without words is in
 no match; repeated rows each get their own row; null ids are kept; an empty
@@ -64,9 +65,9 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
     base = docs.select("doc_id", F.xxhash64("text").alias("fp"), words(F.col("text")).alias("w"))
     spread = base.select("doc_id", "fp", "w", F.posexplode("w").alias("pos", "word"))
     spread = reduce(DataFrame.union, [spread.select("doc_id", "fp", "w", "pos", _shingle("w", "pos", n).alias("h")) for n in lengths])
-    of_block = lambda k: own if blocks == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+    of_block = lambda d, k: d if blocks == 1 else d.where(F.pmod(F.xxhash64("item_id", "win"), F.lit(blocks)) == k)
 
-    counts = [spread.select("h").join(F.broadcast(of_block(k).select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("n")) for k in range(blocks)]
+    counts = [spread.select("h").join(F.broadcast(of_block(own, k).select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("n")) for k in range(blocks)]
     rarity = stage(reduce(DataFrame.union, counts).groupBy("h").agg(F.max("n").alias("n")), "rarity")
     # A window with a shingle that no document has can't occur; the others keep their rarest shingle.
     ranked = own.join(rarity, "h", "left").groupBy("item_id", "win", "len").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "o")).alias("m"))
@@ -74,25 +75,25 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int =
 
     found = []
     for k in range(blocks):
-        part = prefixes if blocks == 1 else prefixes.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        near = spread.join(F.broadcast(part), "h").where("pos >= o and pos - o + len <= size(w)")
+        near = spread.join(F.broadcast(of_block(prefixes, k)), "h").where("pos >= o and pos - o + len <= size(w)")
         found.append(near.where("slice(w, pos - o + 1, len) = win").select("doc_id", "fp", "item_id", F.expr("pos - o").alias("start"), "len"))
     return reduce(DataFrame.union, found).distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, per_cent: int = 5) -> DataFrame:
-    """One row for each document: n_words, n_hit, items (sorted ids), contaminated."""
+    """One row for each document: n_words, n_hit, items (sorted ids), contaminated, and whole: a window of full length occurs."""
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     h = stage(hits(docs, items, window, shingle), "hits")
     spots = h.select("doc_id", "fp", F.explode(F.expr("sequence(start, start + len - 1)")).alias("pos")).distinct().groupBy("doc_id", "fp").agg(F.count("*").alias("n_hit"))
-    named = h.select("doc_id", "fp", F.col("item_id").cast("string").alias("item")).distinct().groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    named = h.groupBy("doc_id", "fp", F.col("item_id").cast("string").alias("item")).agg(F.max("len").alias("len"))
+    named = named.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list("item")).alias("items"), (F.max("len") >= window).alias("whole"))
     # Null ids are joined like any other value.
     key = lambda d: d.withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).drop("doc_id")
     out = docs.select("doc_id", F.xxhash64("text").alias("fp"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = out.withColumn("k", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     out = out.join(key(spots).join(key(named), ["k", "fp"]), ["k", "fp"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (100 * n_hit >= per_cent * F.col("n_words"))).alias("contaminated"))
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (100 * n_hit >= per_cent * F.col("n_words"))).alias("contaminated"), F.coalesce("whole", F.lit(False)).alias("whole"))
 
 
 ORACLE = r"""
