@@ -1,14 +1,16 @@
 """The ten operators against brute force, and on awkward rows."""
 
 import hashlib
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from metaglean.llm import bpe, decontaminate, html_extract, near_dedup, pii, quality_classifier, quality_rules, queries, secret_scan, suffix_dedup, warc
+from metaglean.llm import bpe, decontaminate, html_extract, near_dedup, pii, quality_classifier, quality_rules, queries, secret_scan, sqltext, suffix_dedup, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem ipsum dolor sit amet " * 20_000
@@ -66,9 +68,9 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert r.where("quality = 0 and not kept").count() > 5
 
 
-@pytest.mark.parametrize("limit", [quality_rules.OWN_BROADCAST, 0])
+@pytest.mark.parametrize("limit", [quality_rules.BROADCAST, 0])
 def test_quality_small_languages_have_a_reference(spark, monkeypatch, limit):
-    monkeypatch.setattr(quality_rules, "OWN_BROADCAST", limit)
+    monkeypatch.setattr(quality_rules, "BROADCAST", limit)
     rng = random.Random(5)
     made = lambda letters, n: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)) + "."
     english = lambda n: " ".join(rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.3 else made("etaoinshrdlu", 1)[:-1] for _ in range(n))
@@ -245,6 +247,89 @@ def test_secret_battery(spark):
     assert secret_scan.redact(frame(spark, [(0, texts[0])])).first().text == "key [SECRET] end"
 
 
+def brute_random(t):
+    """Runs that the battery and Benjamini-Hochberg accept, by plain loops."""
+    S = secret_scan
+    phi = lambda z: 1 / (1 + math.exp(-max(-300, min(300, 1.5976 * z + 0.07056 * z**3))))
+    base, found = brute_secrets(t), []
+    for m in re.finditer(S.RUN, t):
+        w = m[0]
+        if any(s < m.end() and m.start() < e for s, _, e in base):
+            continue
+        has = lambda p: re.search(p, w) is not None
+        if re.fullmatch("[0-9a-f]+|[0-9A-F]+", w) and has("[a-fA-F]") and has("[0-9]"):
+            enc = "hex"
+        elif re.fullmatch("[A-Z2-7]+", w) and has("[A-Z]") and has("[2-7]"):
+            enc = "base32"
+        elif re.fullmatch("[a-z0-9]+|[A-Z0-9]+", w) and has("[a-zA-Z]") and has("[0-9]"):
+            enc = "base36"
+        elif has("[a-z]") and has("[A-Z]") and has("[0-9]"):
+            enc = "base64"
+        else:
+            continue
+        u = w.replace("-", "+").replace("_", "/") if enc == "base64" else w if enc == "base32" else w.lower()
+        al = S.ALPHABETS[enc]
+        v, n, a = [al.index(c) for c in u], len(u), len(al)
+        chi = (a / n * sum(v.count(x) ** 2 for x in set(v)) - n - (a - 1)) / math.sqrt(2 * (a - 1) * (1 - 1 / n))
+        up = [2 * y >= a for y in v]
+        h, e = sum(up), 2 * sum(up) * (n - sum(up)) / n
+        runs = 99 if e == 0 else (sum(x != y for x, y in zip(up, up[1:])) - e) / math.sqrt(max(1e-9, e * (e - 1) / (n - 1)))
+        mu = sum(v) / n
+        serial = sum((x - mu) * (y - mu) for x, y in zip(v, v[1:])) / max(1e-9, sum((x - mu) ** 2 for x in v)) * math.sqrt(n) + 1 / math.sqrt(n)
+        p_random = min(1, 3 * min(phi(-chi), 2 * phi(-abs(runs)), 2 * phi(-abs(serial))))
+        kind = lambda c: 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+        changes = sum(kind(x) != kind(y) for x, y in zip(w, w[1:]))
+        q = S.CHANGE_CHANCE
+        p_text = S.HEX_CHANCE**n if enc == "hex" else phi(-(changes - q * (n - 1)) / math.sqrt(q * (1 - q) * (n - 1)))
+        found.append((m.start(), m.end(), p_random, p_text))
+    ps = sorted(x[3] for x in found)
+    most = max([i + 1 for i, p in enumerate(ps) if p <= S.FDR * (i + 1) / len(ps)], default=0)
+    return [(s, 3, e) for s, e, r, p in found if most and p <= S.FDR * most / len(ps) and r >= S.ALPHA]
+
+
+def test_secret_battery_and_false_discovery_control(spark):
+    r = random.Random(8)
+    alphabets = [*secret_scan.ALPHABETS.values(), "ab1", "aB3x", "abcdefghij_/12XY", "ABCDEFGHIJ234", "0123456789ABCDEF"]
+    run_of = lambda: "".join(r.choices(r.choice(alphabets), k=r.choice([19, 20, 21, 24, 32, 40, 64, 200])))
+    glue = [" ", "\n", ". ", "=", "é", " token=", " AKIA", " 0123456789abcdef0 ", '"', " thisIsACamelCaseName2 ", "/path/to/some/file2/here "]
+    texts = ["".join(x for _ in range(r.randint(0, 9)) for x in (r.choice(glue), run_of())) for _ in range(500)]
+    texts += [" ".join(run_of() for _ in range(300)), run_of() * 400]
+    got = secret_scan.scan(frame(spark, list(enumerate(texts)))).select("doc_id", "base_spans", "spans").collect()
+    n = 0
+    for x in got:
+        want = brute_random(texts[x.doc_id])
+        n += len(want)
+        assert [(s.s, s.k, s.e) for s in x.base_spans] == brute_secrets(texts[x.doc_id])
+        assert [(s.s, s.k, s.e) for s in x.spans if s.k == 3] == want, texts[x.doc_id]
+        assert len(x.spans) == len(x.base_spans) + len(want)
+    assert n > 300
+
+
+def test_secrets_of_long_texts(spark):
+    r = random.Random(3)
+    b64 = secret_scan.ALPHABETS["base64"]
+    texts = ["".join(r.choices(b64, k=1_000_000)), "\n".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(50_000)), "\n".join("".join(r.choices(b64, k=40)) for _ in range(5000))]
+    began = time.time()
+    got = {x.doc_id: x.text for x in secret_scan.redact(frame(spark, list(enumerate(texts)))).collect()}
+    assert got[0] == "[SECRET]" and got[1] == "\n".join(["[SECRET]"] * 50_000) and got[2].count("[SECRET]") > 4000
+    assert time.time() - began < 60  # a pass that costs the square takes many minutes
+
+
+def test_secrets_replaced_over_overlaps_and_pieces(spark):
+    r = random.Random(4)
+    for _ in range(3):
+        text = "".join(r.choices("abé漢🎉 ", k=5000))
+        spans = sorted((a, a + r.choice([0, 1, 3, 40, 1500])) for a in r.choices(range(4990), k=r.choice([1, 5, 60])))
+        spans = [(a, min(b, 5000)) for a, b in spans]
+        out, at = [], 0
+        for a, b in spans:
+            if a >= at:
+                out += [text[at:a], "#"]
+            at = max(at, b)
+        d = spark.createDataFrame([(text, spans)], "t string, s array<struct<a:int,b:int>>")
+        assert d.select(F.expr(sqltext.replaced("t", "s", "a", "b", "'#'")).alias("x")).first().x == "".join(out) + text[at:]
+
+
 def test_secrets_awkward(spark):
     got = secret_scan.scan(awkward(spark)).collect()
     assert len(got) == len(AWKWARD) and all(r.spans == [] for r in got)
@@ -340,6 +425,18 @@ def test_bpe_like_the_library(tokenizer, docs):
         assert tokenizer.decode(ids) == t.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_all_code_points_like_the_library(tokenizer):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    points = [chr(i) for i in range(0x30000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 64):
+        x = "".join(points[at : at + 64])
+        assert tokenizer.encode(x) == t.encode(x, add_special_tokens=False).ids, hex(at)
+
+
 def test_bpe_store_limit(tokenizer, docs, monkeypatch):
     want = [tokenizer.encode(x) for x in docs.values()]
     monkeypatch.setattr(bpe, "CACHE_WORDS", 5)
@@ -350,8 +447,9 @@ def test_bpe_awkward(spark):
     import public_tokenizers
 
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
-    d = awkward(spark).withColumn("n_tokens", F.lit("old"))
+    d = awkward(spark).withColumn("n_tokens", F.lit("old")).withColumn("__source", F.lit(1)).withColumn("source_", F.lit(2))
     got = bpe.digests(d, path)
+    assert got.columns[: len(d.columns) - 1] == [c for c in d.columns if c != "n_tokens"] and got.first()["__source"] == 1
     assert [r.n_tokens for r in got.where("doc_id in (1, 2)").collect()] == [0, 0] and got.count() == len(AWKWARD)
     back = bpe.decode(bpe.encode(awkward(spark), path).drop("text"), path).where("doc_id = 7").first()
     assert back.text == AWKWARD[7][1]
@@ -467,8 +565,9 @@ def brute_components(rows, n=4):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
-@pytest.mark.parametrize("limit", [256, 2])
-def test_near_dedup(spark, docs, monkeypatch, limit):
+@pytest.mark.parametrize("limit, n", [(256, 4), (2, 4), (2, 5)])
+def test_near_dedup(spark, docs, monkeypatch, limit, n):
+    shingle = n
     monkeypatch.setattr(near_dedup, "LIST_LIMIT", limit)
     r = random.Random(6)
     words = [f"w{i}" for i in range(400)]
@@ -483,8 +582,8 @@ def test_near_dedup(spark, docs, monkeypatch, limit):
             if r.random() < 0.4:
                 edited.append(r.choice(words))
             rows.append((10_000 + 10 * g + c, " ".join(edited).upper() if c == 1 else " ".join(edited)))
-    want = brute_components(rows)
-    got = near_dedup.near_duplicates(frame(spark, rows).repartition(5)).collect()
+    want = brute_components(rows, shingle)
+    got = near_dedup.near_duplicates(frame(spark, rows).repartition(5), shingle=shingle).collect()
     assert len(got) == len(rows)
     for x in got:
         assert (x.n_shingles, x.component_id) == want[x.doc_id], x.doc_id
@@ -498,7 +597,7 @@ def test_near_dedup_hot_group(spark):
         text = list(text)
         text[i] = f"v{i}"
         rows.append((i, " ".join(text)))
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows), shingle=4).collect()}
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
@@ -511,10 +610,35 @@ def test_near_dedup_shared_passage(spark, monkeypatch):
     for i in range(120):
         own = [f"o{i // 2 if i < 20 else i}_{k}" for k in range(r.choice([4, 12, 15, 30]) if i >= 20 else 20)]
         rows.append((i, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :] + ([f"z{i}"] if i % 2 else []))))
-    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(frame(spark, rows), shingle=4).collect()}
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def template_pairs(spark, monkeypatch, n, limit):
+    """How many pairs are tested beyond those with a list's head, for n documents of which a template is most and none are linked."""
+    seen = {}
+    keep = near_dedup.stage
+    monkeypatch.setattr(near_dedup, "LIST_LIMIT", limit)
+
+    def noted(d, what):
+        seen[what] = keep(d, what)
+        return seen[what]
+
+    monkeypatch.setattr(near_dedup, "stage", noted)
+    r = random.Random(n)
+    template = [f"t{i}" for i in range(170)]
+    rows = [(i, " ".join(template + [f"o{i}_{k}" for k in range(r.randint(28, 36))])) for i in range(n)]
+    got = near_dedup.near_duplicates(frame(spark, rows), shingle=4).collect()
+    assert all(x.kept for x in got) and len(got) == n
+    monkeypatch.setattr(near_dedup, "stage", keep)
+    return seen["pairs2"].count() + (seen["pairs3"].count() if "pairs3" in seen else 0)
+
+
+def test_near_dedup_template_pairs_grow_linearly(spark, monkeypatch):
+    few, many = (template_pairs(spark, monkeypatch, n, 8) for n in (60, 180))
+    assert many <= 3.5 * max(few, 60) and many < 180 * 179 / 2 / 16, (few, many)
+
+
 def test_near_dedup_awkward(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(awkward(spark)).collect()]
     assert sorted(x for x in got if x[0] in (1, 2, 3)) == [(i, 0, i, True) for i in (1, 2, 3)]
