@@ -26,7 +26,13 @@ windows mostly share one.  The windows of one anchor are its context.
 An anchor with more than ``HOT`` different contexts (a phrase on the edge of a
 passage in very many documents) is not indexed as one group: its windows are
 sent one by one, grouped by their own hash, after equal ones of a block have
-been merged.  So no group grows with a hot passage.
+been merged.  A block in which an anchor has more than ``LOCAL_HOT`` contexts
+does so at once, and sends only a mark that makes the other blocks do the same.
+So where an anchor's contexts meet there are at most ``LOCAL_HOT`` of each block,
+and where windows meet, one of each block.
+
+Blocks and buckets grow with the corpus up to a fixed size, which keeps the
+number of pieces (blocks times buckets) in proportion up to some terabytes.
 
 Defined results: null counts as empty and texts shorter than ``LENGTH`` bytes
 stay; a null id matches nothing; rows of one id do not match each other;
@@ -49,17 +55,19 @@ from .common import ship, stage
 from .textvec import CHUNK, U, mix, powers, prefix_sums, span_hash, string_bytes
 
 LENGTH, GRAM = 50, 20
-BLOCK = 4 << 20
+#: Least and most bytes of a block, and documents for each of the least bytes.
+BLOCK, MOST_BLOCK = 4 << 20, 64 << 20
 BLOCK_DOCS = 60_000
-#: Raw bytes of text for each bucket of context hashes, and of contexts for each index.
-BUCKET_TEXT, BUCKET_INDEX = 24 << 20, 2 << 20
-HOT = 4096
+#: Raw bytes of text for each bucket of context hashes (least and most), and of contexts for each index.
+BUCKET_TEXT, MOST_BUCKET_TEXT, BUCKET_INDEX = 24 << 20, 256 << 20, 2 << 20
+HOT, LOCAL_HOT = 4096, 256
 PLACE = U((1 << 24) - 1)
 BLOCKS = "block long, ids array<long>, lens array<long>, data binary"
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """block, ids, lens, data: documents by id in blocks of about BLOCK bytes."""
+def pack(docs: DataFrame, block: int) -> DataFrame:
+    """block, ids, lens, data: documents by id in blocks of about ``block`` bytes."""
+    most = max(1, BLOCK_DOCS * block // BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, number = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
@@ -79,7 +87,7 @@ def pack(docs: DataFrame) -> DataFrame:
             for i, doc_id in enumerate(batch.column(0).to_pylist()):
                 rows.append((doc_id, data[o[i] : o[i + 1]].tobytes()))
                 size += o[i + 1] - o[i]
-                if size >= BLOCK or len(rows) >= BLOCK_DOCS:
+                if size >= block or len(rows) >= most:
                     yield flush()
         if rows:
             yield flush()
@@ -180,7 +188,7 @@ WHOLE, INDEX, SINGLE = 0, 1, 2
 
 
 def anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, hashes, rest: the contexts of each block by bucket; marks already certain have no hashes."""
+    """bucket, block, hashes, rest, hot: the contexts of each block by bucket, and the anchors that are hot in it; what needs no other block has no hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,22 +200,25 @@ def anchors(blocks: DataFrame, buckets: int) -> DataFrame:
                 owner = doc_ids[doc]
                 least = _first_of(mix(h) + c, owner)
                 rows = []
-                again = np.flatnonzero(owner > least)
-                if len(again):
-                    rows.append((number % buckets, number, None, _blob([first[again].astype("<i4"), (last - first)[again].astype("<u1"), np.zeros(len(again), "<u1")])))
-                own = np.flatnonzero(owner == least)
-                bucket = (h[own] >> U(24)) % U(buckets)
-                order = own[np.argsort(bucket, kind="stable")]
-                cut = np.concatenate([[0], np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets))])
-                for b in range(buckets):
-                    x = order[cut[b] : cut[b + 1]]
+                again, own = np.flatnonzero(owner > least), np.flatnonzero(owner == least)
+                names, which, often = np.unique(h[own], return_inverse=True, return_counts=True)
+                hot = names[often > LOCAL_HOT]
+                single, own = own[often[which] > LOCAL_HOT], own[often[which] <= LOCAL_HOT]
+                for x, kind in ((again, WHOLE), (single, SINGLE)):
                     if len(x):
-                        rest = _blob([np.diff(owner[x], prepend=0).astype("<i8"), np.diff(first[x], prepend=0).astype("<i4"), (last - first)[x].astype("<u1")])
-                        rows.append((b, number, _six(h[x] >> U(16)) + _six(c[x] >> U(16)), rest))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["bucket", "block", "hashes", "rest"])
+                        rows.append((number % buckets, number, None, _blob([first[x].astype("<i4"), (last - first)[x].astype("<u1"), np.full(len(x), kind, "<u1")]), None))
+                bucket = ((h[own] >> U(24)) % U(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                found, at = np.unique(bucket[order], return_index=True)
+                for b, x in zip(found.tolist(), np.split(own[order], at[1:])):
+                    rest = _blob([np.diff(owner[x], prepend=0).astype("<i8"), np.diff(first[x], prepend=0).astype("<i4"), (last - first)[x].astype("<u1")])
+                    rows.append((b, number, _six(h[x] >> U(16)) + _six(c[x] >> U(16)), rest, None))
+                for x in hot.tolist():
+                    rows.append(((x >> 24) % buckets, number, None, None, _six(np.array([x >> 16], U))))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["bucket", "block", "hashes", "rest", "hot"])
 
-    return blocks.mapInArrow(run, "bucket long, block long, hashes binary, rest binary")
+    return blocks.mapInArrow(run, "bucket long, block long, hashes binary, rest binary, hot binary")
 
 
 def _settle(t: pa.Table) -> pa.Table:
@@ -216,8 +227,9 @@ def _settle(t: pa.Table) -> pa.Table:
     hs, cs, owners, firsts, ns, of = [], [], [], [], [], []
     for number, hashes, rest in zip(t.column("block").to_pylist(), t.column("hashes").to_pylist(), t.column("rest").to_pylist()):
         if hashes is None:
-            blocks.append(number)
-            out.append(rest)
+            if rest is not None:
+                blocks.append(number)
+                out.append(rest)
             continue
         owner, first, n = _unblob(rest, SENT)
         k = len(owner)
@@ -233,7 +245,10 @@ def _settle(t: pa.Table) -> pa.Table:
         s = h[by]
         head = np.concatenate([[True], s[1:] != s[:-1]])
         size = np.diff(np.append(np.flatnonzero(head), len(s)))
-        by = by[np.repeat(size > 1, size)]  # an anchor that occurs once matches nothing
+        marks = b"".join(x for x in t.column("hot").to_pylist() if x is not None)
+        is_hot = np.isin(s[head], _from_six(marks, len(marks) // 6))
+        by = by[np.repeat((size > 1) | is_hot, size)]  # an anchor that occurs once matches nothing
+        hot = s[head][is_hot]
         h, c, owner, first, n, number = (x[by] for x in (h, c, owner, first, n, number))
         by = np.lexsort((owner, c, h))
         h, c, owner, first, n, number = (x[by] for x in (h, c, owner, first, n, number))
@@ -243,7 +258,7 @@ def _settle(t: pa.Table) -> pa.Table:
             group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
             least = owner[np.flatnonzero(new_c)][group_c]
             texts = np.bincount(group_h, weights=new_c)[group_h]
-            kind = np.where(owner > least, WHOLE, np.where(texts > HOT, SINGLE, np.where(texts > 1, INDEX, 9))).astype("<u1")
+            kind = np.where(owner > least, WHOLE, np.where((texts > HOT) | np.isin(h, hot), SINGLE, np.where(texts > 1, INDEX, 9))).astype("<u1")
             for b in np.unique(number[kind != 9]):
                 x = np.flatnonzero((number == b) & (kind != 9))
                 blocks.append(int(b))
@@ -444,9 +459,9 @@ def without_earlier(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes, or their SHA-256)."""
     ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    blocks = stage(pack(docs), "blocks")
-    total = blocks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
-    buckets = 1 + total // BUCKET_TEXT
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = stage(pack(docs, min(MOST_BLOCK, max(BLOCK, total >> 16))), "blocks")
+    buckets = 1 + total // min(MOST_BUCKET_TEXT, max(BUCKET_TEXT, total >> 14))
     settled = anchors(blocks, buckets).groupBy("bucket").applyInArrow(_settle, "block long, reply binary")
     replies = stage(settled, "replies")
     size = replies.agg(F.sum(F.length("reply"))).first()[0] or 0
