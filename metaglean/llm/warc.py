@@ -21,7 +21,8 @@ before the break are yielded.
 Defined results: null payload counts as empty; rows of one id each have a
 record; ties on equal payloads go to the smallest id; an empty table gives no
 records; where a chain breaks (a header is damaged or a record is cut off), the
-records after it in that file can't be proven and are not returned.
+records after it in that file can't be proven.  ``strict`` reading raises then
+and names such archives; else the records before the break are returned.
 """
 
 from __future__ import annotations
@@ -36,13 +37,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship, stage
+from .common import forget_at_exit, shared_dir, ship, stage
 
 MIN_REVISIT = 100
 RANGE = 8 << 20
 MAGIC = b"WARC/1.0\r\n"
 PIECE = 4 << 10
+#: Copied digests (some 140 bytes each) that are sent to every task.
 BROADCAST_DIGESTS = 100_000
+#: Tasks that read, at most; up to that, one for each range.
+TASKS = 100_000
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -187,8 +191,12 @@ class Range:
 def ranges(archives: DataFrame, size: int = RANGE) -> DataFrame:
     """file, path, bytes, start, end of the ranges of all archives."""
     d = archives.where("bytes > 0").select("file", "path", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {size}L)")).alias("start"))
-    d = d.select("file", "path", "bytes", "start", F.least(F.col("start") + size, "bytes").alias("end"))
-    return d.repartition(F.col("file"), F.col("start"))
+    return d.select("file", "path", "bytes", "start", F.least(F.col("start") + size, "bytes").alias("end"))
+
+
+def spread(parts: DataFrame, n: int) -> DataFrame:
+    """``n`` rows of ranges over tasks by what they read, not by how small the rows are."""
+    return parts.repartition(max(1, min(n, TASKS)))
 
 
 def links(parts: DataFrame) -> DataFrame:
@@ -224,7 +232,13 @@ def reachable(edges: DataFrame) -> DataFrame:
         jump = stage(jump.join(far, ["file", "exit"]).select("file", "entry", F.col("beyond").alias("exit")), "jump")
 
 
-def read(archives: DataFrame, size: int = RANGE) -> DataFrame:
+def broken(archives: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """path of the archives whose chain of reachable entries doesn't end where the file does."""
+    ends = entries.join(edges, ["file", "entry"]).select("file", F.col("exit").alias("bytes"))
+    return archives.where("bytes > 0").join(ends, ["file", "bytes"], "left_anti").select("path")
+
+
+def read(archives: DataFrame, size: int = RANGE, strict: bool = False) -> DataFrame:
     """page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to.
 
     ``archives`` names the files: file (any number of its own), path, bytes.
@@ -232,7 +246,12 @@ def read(archives: DataFrame, size: int = RANGE) -> DataFrame:
     """
     ship(archives.sparkSession)
     parts = stage(ranges(archives, size), "ranges")
-    entries = reachable(stage(links(parts), "links")).select("file", "entry", (F.floor(F.col("entry") / size) * size).alias("start"))
+    n = parts.count()
+    edges = stage(links(spread(parts, n)), "links")
+    seen = reachable(edges)
+    if strict and (lost := broken(archives, seen, edges).take(9)):
+        raise ValueError(f"records can't be proven to the end of {', '.join(r.path for r in lost)}")
+    entries = seen.select("file", "entry", (F.floor(F.col("entry") / size) * size).alias("start"))
     # A range is entered once at most, by the one chain of its file.
     found = parts.join(entries.groupBy("file", "start").agg(F.min("entry").alias("entry")), ["file", "start"])
 
@@ -259,7 +278,7 @@ def read(archives: DataFrame, size: int = RANGE) -> DataFrame:
                 yield _batch(rows)
 
     schema = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
-    return found.select("path", "bytes", "start", "end", "entry").mapInArrow(run, schema)
+    return spread(found.select("path", "bytes", "start", "end", "entry"), n).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -268,9 +287,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def round_trip(df: DataFrame) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads them back."""
-    archives = stage(write(df, f"{shared_dir(df.sparkSession)}-archives"), "archives")
-    return read(archives)
+    """Writes the pages to archives in the shared folder and reads them back, every record or none."""
+    folder = f"{shared_dir(df.sparkSession)}-archives"
+    archives = stage(write(df, folder), "archives")
+    forget_at_exit(df.sparkSession, folder)
+    return read(archives, strict=True)
 
 
 ORACLE = """
