@@ -106,9 +106,13 @@ def brute_removed(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix_dedup(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, local", [(4096, 256), (2, 256), (4096, 1), (2, 2)])
+def test_suffix_dedup(spark, monkeypatch, hot, local):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "LOCAL_HOT", local)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 3000)  # several blocks and buckets
+    monkeypatch.setattr(suffix_dedup, "MOST_BLOCK", 3000)
+    monkeypatch.setattr(suffix_dedup, "MOST_BUCKET_TEXT", 4000)
     r = random.Random(5)
     words = ["".join(r.choices("abcdeé", k=r.randint(2, 7))) for _ in range(300)]
     text = lambda n: " ".join(r.choices(words, k=n))
@@ -121,6 +125,7 @@ def test_suffix_dedup(spark, monkeypatch, hot):
             a = r.randint(0, len(s) - 60)
             parts += [s[a : a + r.randint(40, 120)].decode("utf-8", "ignore"), text(r.randint(0, 9))]
         rows.append((i, "".join(parts)))
+    rows += [(130 + i, text(4) + "a phrase on many edges" + text(9)) for i in range(40)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, "short"), (203, "short"), (204, None)]
     want = brute_removed(rows)
     got = {x.doc_id: x for x in suffix_dedup.without_earlier(frame(spark, rows).repartition(3)).collect()}
@@ -387,6 +392,9 @@ def test_warc_yields_records_before_a_break(spark, tmp_path, size):
         open(f"{tmp_path}/{name}.warc", "wb").write(broken)
         of = archives.select("file", F.lit(f"file://{tmp_path}/{name}.warc").alias("path"), F.lit(len(broken)).cast("long").alias("bytes"))
         assert sorted(r.page_id for r in warc.read(of, size).collect()) == sorted(ids[:n]), name
+        with pytest.raises(ValueError, match=f"{name}.warc"):
+            warc.read(of, size, strict=True)
+    assert warc.read(archives, size, strict=True).count() == 20
 
 
 def test_warc_payload_of_open_headers_takes_one_pass(spark, tmp_path):
@@ -399,6 +407,20 @@ def test_warc_payload_of_open_headers_takes_one_pass(spark, tmp_path):
     assert sorted(x.page_id for x in warc.read(archives).collect()) == [1, 2]
 
 
+def test_warc_reads_in_as_many_tasks_as_ranges(spark, tmp_path):
+    archives, path = written(spark, tmp_path, [(i, f"http://x/{i}", f"page {i} " * 200) for i in range(200)])
+    size = 20_000
+    got = warc.read(archives, size)
+    assert got.rdd.getNumPartitions() >= archives.first().bytes / size and got.count() == 200
+
+
+def test_warc_repeated_ids_and_extra_columns(spark):
+    d = pages(spark, [(1, "u", "x" * 200), (1, "v", "x" * 200), (1, "w", "y" * 200), (2, "w", "y" * 200), (None, "w", "z" * 200), (3, None, None)])
+    got = warc.round_trip(d.withColumn("digest", F.lit("d")).withColumn("first", F.lit(1)).withColumn("file", F.lit(2)))
+    assert sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0) for r in got.collect()) == [
+        (0, 200, "response", 0), (1, 200, "response", 0), (1, 200, "response", 0), (1, 200, "response", 0), (2, 200, "revisit", 1), (3, 0, "response", 0)]
+
+
 def test_warc_empty(spark):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
