@@ -13,9 +13,14 @@ Scripts, styles, forms, hidden parts and comments of the markup are never text.
 The classifier's weights and lists are public conventions of page markup, set
 by hand; nothing is cut or capped.
 
+A page is read once from start to end: a quote opens a value only after "=" and
+only if it is closed somewhere; open elements are counted by name, so a stray
+end tag costs no search.
+
 Defined results: null or empty html gives an empty text; unclosed and stray
 tags are tolerated; a truncated tag at the end is dropped; repeated rows get
-equal rows; an empty table gives an empty result.
+equal rows; an empty table gives an empty result; extra columns stay, and the
+result column wins a clash of names.
 """
 
 from __future__ import annotations
@@ -31,12 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import ship
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
+#: What starts so ends with this.
+MARKED = {"<!--": "-->", "<![CDATA[": "]]>", "<!": ">", "<?": ">"}
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not text for a reader.
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video head title textarea".split())
-SILENT = frozenset("form select button datalist dialog option".split())
+RAW = frozenset("script style iframe title textarea noembed noframes xmp".split())
+SILENT = frozenset("form select button datalist dialog option noscript template svg canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li legend main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -62,10 +70,11 @@ NAME_COST = 5
 class Node:
     """An element; ``good``, ``bad`` and ``named`` are of use after ``settle``."""
 
-    __slots__ = ("articles", "bad", "depth", "good", "inside", "link", "named", "own", "parent", "silent", "tag", "within")
+    __slots__ = ("articles", "bad", "depth", "good", "home", "inside", "link", "named", "own", "parent", "silent", "tag", "within")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
+        self.home = self if parent is None or tag in BLOCK else parent.home
         self.good = self.bad = self.depth = self.articles = 0
         self.named = self.within = self.inside = self.silent = self.link = False
         self.own = (False, False, False)
@@ -126,6 +135,8 @@ def blocks(page: str) -> list[Block]:
     nodes: list[Node] = []
     current = Block(top)
     at, n = 0, len(page)
+    opened: dict[str, int] = {}
+    last = {c: page.rfind(c) for c in "\"'"}
 
     def flush(next_node: Node) -> None:
         nonlocal current
@@ -138,14 +149,29 @@ def blocks(page: str) -> list[Block]:
     def add(text: str) -> None:
         if text and not node.silent:
             if not current.parts:
-                home = node
-                while home.parent is not None and home.tag not in BLOCK:
-                    home = home.parent
-                current.node = home
+                current.node = node.home
             current.parts.append(text)
             if node.link:
                 current.linked += len(text.strip())
 
+    def close(to: Node) -> None:
+        """Makes ``to`` the innermost open element."""
+        nonlocal node
+        while node is not to:
+            opened[node.tag] -= 1
+            node = node.parent
+
+    def tag_end(at: int) -> int:
+        """Where the tag whose name ends at ``at`` closes."""
+        while m := STOP.search(page, at):
+            i, c = m.start(), m[0]
+            if c == ">":
+                return i
+            at = i + 1
+            if i < last[c] and (page[i - 1] == "=" or page[max(0, i - 9) : i].rstrip().endswith("=")):
+                at = page.index(c, at) + 1
+        return n
+
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
@@ -153,42 +179,44 @@ def blocks(page: str) -> list[Block]:
             break
         if lt > at:
             add(page[at:lt])
-        m = TOKEN.match(page, lt)
+        m = NAME.match(page, lt)
         if m is None:
-            add("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        if m[2] is None:
+            mark = next((k for k in MARKED if page.startswith(k, lt)), None)
+            if mark is None:
+                add("<")
+                at = lt + 1
+            else:
+                end = page.find(MARKED[mark], lt + len(mark))
+                at = n if end < 0 else end + len(MARKED[mark])
             continue
+        end = tag_end(m.end())
+        rest, at = page[m.end() : end], end + 1
         tag = m[2].lower()
         if m[1]:  # an end tag closes its element and those left open in it
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
             if tag in BLOCK:
                 flush(node)
-            if up.parent is not None:
-                node = up.parent
+            if opened.get(tag):
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                close(up.parent)
             continue
-        if tag in RAW and tag != "head":
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else n
+        empty = rest.rstrip().endswith("/")
+        if tag in RAW:
+            if not empty:
+                found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+                at = found.end() if found else n
             continue
         if tag in BLOCK:
             flush(node)
-            if tag in ENDS_P:
-                up = node
-                while up.parent is not None and up.tag not in BLOCK:
-                    up = up.parent
-                if up.tag == "p":
-                    node = up.parent
+            if tag in ENDS_P and node.home.tag == "p":
+                close(node.home.parent)
             for c in CLOSES.get(tag, ()):
                 if node.tag == c:
-                    node = node.parent
-        if tag not in VOID and not m[3].rstrip().endswith("/"):
-            node = Node(tag, node, m[3])
+                    close(node.parent)
+        if tag not in VOID and not empty:
+            node = Node(tag, node, rest)
+            opened[tag] = opened.get(tag, 0) + 1
             nodes.append(node)
     flush(top)
     for x in nodes:
