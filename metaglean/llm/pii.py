@@ -9,13 +9,18 @@ its mentions it counts, over all documents,
 * n(e), n(t), N: documents with e, with t anywhere, and all of them,
 
 and flags t if P(e | t) = n(e, t) / n(t) is at least ``CONFIDENCE``, the
-pointwise mutual information log2(N n(e, t) / (n(e) n(t))) at least ``BITS``,
-and at least ``SUPPORT`` different texts show the pair (so copies of one text
-prove nothing).  Flagged terms are spans of kind ``term`` wherever they stand.
-
-Only candidate terms (pairs with support) are counted over the corpus; they are
-broadcast in blocks of ``BLOCK`` hashes, each block one scan, so no broadcast
-grows with the data.  Terms are compared by 64-bit hashes.
+pointwise mutual information log2(N n(e, t) / (n(e) n(t))) at least ``SHARE`` of
+the most it can be, -log2(n(e, t) / N), which holds for an entity in a third of
+all documents as for a rare one, and at least ``SUPPORT`` different texts show
+the pair (so copies of one text prove nothing).  Flagged terms are spans of kind
+``term`` wherever they stand.
+
+Only candidate terms (pairs with support) are counted over the corpus.  Up to
+``BLOCK`` of them are sent to every task, which counts them in one scan; more are
+counted by a shuffle of the words of every document, summed up in each task
+first.  Likewise flagged terms are found in texts in one scan, or else by a join
+of words with terms, and of their places with the texts by a 128-bit hash.  Terms
+are compared by 64-bit hashes.
 
 Positions are code points, ends exclusive.  Defined results: null counts as
 empty; no documents with personal data mean no terms; repeated rows get equal
@@ -33,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh_name, ship, stage
+from .sqltext import replaced
 from .textvec import LOWER, U, chunks, prefix_sums, span_hash, string_bytes, word_spans
 
 KINDS = ["email", "ip", "card", "phone", "term"]
-WINDOW, SUPPORT, CONFIDENCE, BITS = 6, 3, 0.5, 6.0
-MIN_TERM = 4
-BLOCK = 1_000_000
+WINDOW, SUPPORT, CONFIDENCE, SHARE = 6, 3, 0.5, 0.5
+MIN_TERM = 3
+#: Hashes that are sent to every task, at most.
+BLOCK = 200_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -102,6 +109,16 @@ def _hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return s, e, span_hash(prefix_sums(low), s, e), first
 
 
+def _touched(s: np.ndarray, e: np.ndarray, starts: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which words, by their bytes, overlap one of the spans, given in code points that start at these bytes."""
+    edge = np.zeros(len(s) + 1, np.int64)
+    if spans and len(s):
+        a, b = starts[[x for _, x, _ in spans]], starts[[x for _, _, x in spans]]
+        np.add.at(edge, np.searchsorted(e, a, "right"), 1)
+        np.add.at(edge, np.maximum(np.searchsorted(s, b, "left"), np.searchsorted(e, a, "right")), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """entity, term, text: hashes of what stands near each mention; term null for the mention itself."""
 
@@ -113,15 +130,12 @@ def mentions(docs: DataFrame) -> DataFrame:
         starts = np.flatnonzero((raw & 0xC0) != 0x80)  # byte of each code point
         starts = np.append(starts, len(raw))
         s, e, h, _ = _hash_words(raw, np.array([0, len(raw)]))
-        inside = np.zeros(len(s), bool)
-        for _, a, b in spans:
-            inside |= (s < starts[b]) & (e > starts[a])
+        free = np.flatnonzero(~_touched(s, e, starts, spans) & (e - s >= MIN_TERM))
+        at = s[free]
         for kind, a, b in spans:
             name = entity(kind, t[a:b])
             yield name, None
-            free = np.flatnonzero(~inside & (e - s >= MIN_TERM))
-            left = np.searchsorted(s[free], starts[a])
-            right = np.searchsorted(s[free], starts[b])
+            left, right = np.searchsorted(at, starts[a]), np.searchsorted(at, starts[b])
             for k in np.concatenate([free[max(0, left - WINDOW) : left], free[right : right + WINDOW]]).tolist():
                 yield name, int(h[k].view(np.int64))
 
@@ -139,39 +153,41 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.select("text", F.xxhash64("text").alias("fp")).mapInArrow(run, "entity string, term long, text long")
 
 
-def _blocks(hashes: DataFrame) -> Iterator[np.ndarray]:
-    """The hashes in sorted blocks of at most about BLOCK values."""
-    n = hashes.count()
-    parts = 1 + n // BLOCK
-    for k in range(parts if n else 0):
-        rows = hashes if parts == 1 else hashes.where(F.pmod("term", F.lit(parts)) == k)
-        yield np.sort(np.array([r[0] for r in rows.collect()], np.int64).view(U))
+def _few(hashes: DataFrame) -> np.ndarray | None:
+    """The sorted hashes if they are at most BLOCK, else None."""
+    rows = hashes.limit(BLOCK + 1).collect()
+    return None if len(rows) > BLOCK else np.sort(np.array([r[0] for r in rows], np.int64).view(U))
 
 
-def _document_counts(docs: DataFrame, hashes: DataFrame) -> DataFrame | None:
+def _document_counts(docs: DataFrame, hashes: DataFrame) -> DataFrame:
     """term, n_t: documents that hold each of the hashes."""
-    out = None
-    for block in _blocks(hashes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            wanted = shared.value
-            total = np.zeros(len(wanted), np.int64)
-            for batch in batches:
-                data, offsets = string_bytes(batch.column(0))
-                for _, _, part, offs in chunks(data, offsets):
-                    _, _, h, first = _hash_words(part, offs)
+    few = _few(hashes)
+    shared = docs.sparkSession.sparkContext.broadcast(few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        total = np.zeros(0 if wanted is None else len(wanted), np.int64)
+        for batch in batches:
+            data, offsets = string_bytes(batch.column(0))
+            for _, _, part, offs in chunks(data, offsets):
+                _, _, h, first = _hash_words(part, offs)
+                row = np.repeat(np.arange(len(offs) - 1), np.diff(first))
+                if wanted is None:  # every word of each document once; the sums follow in the task
+                    order = np.lexsort((row, h))
+                    new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (row[order][1:] != row[order][:-1])])[: len(h)])
+                    terms, n = np.unique(h[order[new]], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64))], ["term", "n"])
+                elif len(wanted):
                     at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
                     hit = np.flatnonzero(wanted[at] == h)
-                    row = np.searchsorted(first, hit, "right") - 1
-                    pairs = np.unique(row * len(wanted) + at[hit])
+                    pairs = np.unique(row[hit] * len(wanted) + at[hit])
                     total += np.bincount(pairs % len(wanted), minlength=len(wanted))
-            some = np.flatnonzero(total)
+        some = np.flatnonzero(total)
+        if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(wanted[some].view(np.int64)), pa.array(total[some])], ["term", "n"])
 
-        counted = docs.select("text").mapInArrow(run, "term long, n long")
-        out = counted if out is None else out.union(counted)
-    return None if out is None else out.groupBy("term").agg(F.sum("n").alias("n_t"))
+    counted = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    return counted if few is not None else counted.join(hashes, "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame) -> DataFrame:
@@ -181,13 +197,15 @@ def disclosing_terms(docs: DataFrame) -> DataFrame:
     pairs = near.where("term is not null").groupBy("entity", "term", "text").agg(F.count("*").alias("n"))
     pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("texts")).where(F.col("texts") >= SUPPORT)
     pairs = stage(pairs.join(n_e, "entity"), "pairs")
-    counted = _document_counts(docs, pairs.select("term").distinct())
-    if counted is None:
-        return pairs.where("false").select("entity", "term", "n_et", "n_e", F.lit(0).cast("long").alias("n_t"), F.lit(0.0).alias("confidence"), F.lit(0.0).alias("bits"))
-    total = docs.count()
-    d = pairs.join(stage(counted, "counts"), "term").withColumn("confidence", F.col("n_et") / F.col("n_t"))
-    d = d.withColumn("bits", F.log2(F.lit(float(total)) * F.col("n_et") / F.col("n_e") / F.col("n_t")))
-    return d.where((F.col("confidence") >= CONFIDENCE) & (F.col("bits") >= BITS)).select("entity", "term", "n_et", "n_e", "n_t", "confidence", "bits")
+    counted = stage(_document_counts(docs, pairs.select("term").distinct()), "counts")
+    share = F.col("n_et") / F.lit(float(max(1, docs.count())))
+    d = pairs.join(counted, "term").withColumn("confidence", F.col("n_et") / F.col("n_t"))
+    d = d.withColumn("bits", F.log2(F.col("n_et") / share * F.col("n_et") / F.col("n_e") / F.col("n_t")))
+    enough = (F.col("confidence") >= CONFIDENCE) & (F.col("bits") > 0) & (F.col("bits") >= -SHARE * F.log2(share))
+    return d.where(enough).select("entity", "term", "n_et", "n_e", "n_t", "confidence", "bits")
+
+
+SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
 def scan(df: DataFrame, text_col: str = "text", into: str = "spans") -> DataFrame:
@@ -195,46 +213,79 @@ def scan(df: DataFrame, text_col: str = "text", into: str = "spans") -> DataFram
     ship(df.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     flagged = stage(disclosing_terms(df.select(text.alias("text"))).select("term").distinct(), "flagged")
-    d = _marked(df.drop(into).withColumn(fresh_name(df.columns, "t_"), text), np.zeros(0, U), True, into)
-    for block in _blocks(flagged):
-        d = _marked(d, block, False, into)
+    few = _few(flagged)
+    d = df.drop(into)
+    t, x, y, z = (fresh_name([*d.columns, into], f"{c}_") for c in "txyz")
+    d = d.withColumn(t, text)
+    if few is not None:
+        d = _marked(d, few, into)
+    else:
+        key = lambda c: (F.xxhash64(c), F.xxhash64(F.lit(1), c))
+        found = _places(d.select(F.col(t).alias("text"))).join(flagged, "term", "left_semi")
+        found = found.groupBy(F.col("x").alias(x), F.col("y").alias(y)).agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "start", "end")).alias(z))
+        d = _marked(d, np.zeros(0, U), into, True).withColumns(dict(zip((x, y), key(t)))).join(found, [x, y], "left")
+        d = d.withColumn(into, F.expr(f"CASE WHEN `{z}` IS NULL THEN `{into}` ELSE sort_array(concat(`{into}`, `{z}`)) END"))
     return d.select(*(F.col(f"`{c}`") for c in df.columns if c != into), into)
 
 
-def _marked(d: DataFrame, block: np.ndarray, base: bool, into: str) -> DataFrame:
-    """Adds base spans, or the spans of a block of terms, to the last but one or last column."""
-    text = d.columns[-1] if base else d.columns[-2]
-    kept = [c for c in d.columns if c != into]
-    shared = d.sparkSession.sparkContext.broadcast(block)
+def _free_words(column: pa.Array, wanted: np.ndarray | None) -> Iterator[tuple[int, list[int], list[int], np.ndarray, list[tuple[int, int, int]]]]:
+    """For each text its row, starts, ends and hashes of (wanted) words outside of base spans, and the base spans; positions in code points."""
+    texts = column.to_pylist()
+    data, offsets = string_bytes(column)
+    for at, end, part, offs in chunks(data, offsets):
+        s, e, h, first = _hash_words(part, offs)
+        use = e - s >= MIN_TERM
+        if wanted is not None:
+            use &= (wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h) if len(wanted) else False
+        for r in range(at, end):
+            spans = base_spans(texts[r])
+            i = np.flatnonzero(use[first[r - at] : first[r - at + 1]]) + first[r - at]
+            if not len(i):
+                yield r, [], [], h[:0], spans
+                continue
+            a = offs[r - at]
+            points = np.cumsum((part[a : offs[r - at + 1]] & 0xC0) != 0x80)
+            starts = np.append(np.flatnonzero((part[a : offs[r - at + 1]] & 0xC0) != 0x80), offs[r - at + 1] - a)
+            i = i[~_touched(s[i] - a, e[i] - a, starts, spans)]
+            yield r, (points[s[i] - a] - 1).tolist(), points[e[i] - a - 1].tolist(), h[i], spans
+
+
+def _places(d: DataFrame) -> DataFrame:
+    """x, y (hashes of the text), term, start, end: every word outside of base spans of the different texts of a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen = set()
+            for r, starts, ends, h, _ in _free_words(batch.column(0), None):
+                k = batch.column(1)[r].as_py(), batch.column(2)[r].as_py()
+                if k in seen or not starts:
+                    continue
+                seen.add(k)
+                n = len(starts)
+                columns = [pa.array(np.full(n, k[0])), pa.array(np.full(n, k[1])), pa.array(h.view(np.int64)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["x", "y", "term", "start", "end"])
+
+    return d.select("text", F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).mapInArrow(run, "x long, y long, term long, start int, end int")
+
+
+def _marked(d: DataFrame, terms: np.ndarray, into: str, keep_text: bool = False) -> DataFrame:
+    """Adds the base spans and those of the terms in the last column, the text."""
+    kept = d.columns if keep_text else d.columns[:-1]
+    shared = d.sparkSession.sparkContext.broadcast(terms)
     kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = ", ".join([*(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in kept), f"`{into}` array<struct<kind:int,start:int,end:int>>"])
+    schema = ", ".join([*(f"`{c}` {d.schema[c].dataType.simpleString()}" for c in kept), f"`{into}` {SPANS}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
         for batch in batches:
-            column = batch.column(batch.schema.names.index(text))
-            if base:
-                spans = [base_spans(t) for t in column.to_pylist()]
-            else:
-                spans = [[(x["kind"], x["start"], x["end"]) for x in r] for r in batch.column(batch.num_columns - 1).to_pylist()]
-                data, offsets = string_bytes(column)
-                for at, _, part, offs in chunks(data, offsets):
-                    s, e, h, first = _hash_words(part, offs)
-                    place = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                    hit = np.flatnonzero((wanted[place] == h) & (e - s >= MIN_TERM))
-                    if not len(hit):
-                        continue
-                    points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-                    row = np.searchsorted(first, hit, "right") - 1
-                    zero = points[offs[row]]
-                    for r, a, b in zip(row.tolist(), (points[s[hit]] - zero).tolist(), (points[e[hit]] - zero).tolist()):
-                        if not any(x < b and a < y for _, x, y in spans[at + r]):
-                            spans[at + r].append((4, a, b))
-            values = [[{"kind": k, "start": a, "end": b} for k, a, b in sorted(r)] for r in spans]
-            columns = [batch.column(batch.schema.names.index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, kind)], [*kept, into])
-
-    return d.select(*(F.col(f"`{c}`") for c in [*kept, *([] if base else [into])])).mapInArrow(run, schema)
+            offs, rows = [0], []
+            for _, starts, ends, _, spans in _free_words(batch.column(batch.num_columns - 1), shared.value):
+                rows += sorted([*spans, *((4, a, b) for a, b in zip(starts, ends))])
+                offs.append(len(rows))
+            flat = [pa.array([x[i] for x in rows], pa.int32()) for i in range(3)]
+            values = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.StructArray.from_arrays(flat, ["kind", "start", "end"]), kind)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), values], [*kept, into])
+
+    return d.mapInArrow(run, schema)
 
 
 def joined(spans: str, most: int = len(KINDS)):
@@ -248,8 +299,6 @@ def sanitise(df: DataFrame, text_col: str = "text") -> DataFrame:
     spans = fresh_name(df.columns, "spans_")
     names = "array(" + ", ".join(f"'{p}'" for p in PLACEHOLDERS) + ")"
     order = f"array_sort({spans}, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE a.kind - b.kind END)"
-    fold = f"""aggregate({order}, struct(0 AS at, '' AS r),
-        (a, x) -> CASE WHEN x.start >= a.at THEN struct(x.end AS at, concat(a.r, substring(`{text_col}`, a.at + 1, x.start - a.at), get({names}, x.kind)) AS r)
-                       ELSE struct(greatest(a.at, x.end) AS at, a.r AS r) END, a -> concat(a.r, substring(`{text_col}`, a.at + 1)))"""
     d = scan(df, text_col, spans)
-    return d.withColumn(text_col, F.expr(f"CASE WHEN size({spans}) > 0 THEN {fold} ELSE `{text_col}` END")).select(*(F.col(f"`{c}`") for c in df.columns))
+    new = replaced(f"`{text_col}`", order, "start", "end", f"get({names}, tx.kind)")
+    return d.withColumn(text_col, F.expr(f"CASE WHEN size({spans}) > 0 THEN {new} ELSE `{text_col}` END")).select(*(F.col(f"`{c}`") for c in df.columns))
