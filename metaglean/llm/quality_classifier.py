@@ -6,8 +6,8 @@ counts as one shared word, "repeat".  A softmax over two classes gives the score
 gradient descent.
 
 Training uses at most ``SAMPLE`` labelled documents, those with the smallest
-hashes of their ids, so the bound is fixed and the choice is the same at every
-run.  It runs in one task; the sample is bounded, so its memory is too.  For
+hashes of their ids (of several rows of one id the least text), so the bound is
+fixed and the choice is the same at every run.  It runs in one task; the sample is bounded, so its memory is too.  For
 scoring, each hash bucket's vector is folded with the output weights into one
 number (the average is linear), 1 MB in all, which is broadcast.
 
@@ -78,18 +78,31 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarra
     step, steps = 0, EPOCHS * len(docs)
     for _ in range(EPOCHS):
         for i in r.permutation(len(docs)):
-            rate = RATE * (1 - step / steps)
+            descend(vectors, out, b, *docs[i], int(y[i]), RATE * (1 - step / steps))
             step += 1
-            ids, weight = docs[i]
-            mean = weight @ vectors[ids]
-            z = out @ mean + b
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            back = p @ out
-            out -= rate * np.outer(p, mean)
-            b -= 0.1 * rate * p
-            vectors[ids] -= (rate * min(64.0, 1 / max(1e-6, float((weight * weight).sum())))) * np.outer(weight, back)
+    return fold(vectors, out, b)
+
+
+def softmax(vectors: np.ndarray, out: np.ndarray, b: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of both labels of a document, and its averaged vector."""
+    mean = weight @ vectors[ids]
+    z = out @ mean + b
+    p = np.exp(z - z.max())
+    return p / p.sum(), mean
+
+
+def descend(vectors: np.ndarray, out: np.ndarray, b: np.ndarray, ids: np.ndarray, weight: np.ndarray, label: int, rate: float) -> None:
+    """One step down the gradient of -log(probability of the label); the bias goes slower, the vectors of many shared features faster."""
+    p, mean = softmax(vectors, out, b, ids, weight)
+    p[label] -= 1
+    back = p @ out
+    out -= rate * np.outer(p, mean)
+    b -= 0.1 * rate * p
+    vectors[ids] -= (rate * min(64.0, 1 / max(1e-6, float((weight * weight).sum())))) * np.outer(weight, back)
+
+
+def fold(vectors: np.ndarray, out: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """One number a bucket and a bias whose sigmoid is the softmax of label 1, for the average is linear."""
     return vectors @ (out[1] - out[0]), float(b[1] - b[0])
 
 
@@ -98,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     ship(docs.sparkSession)
     chosen = labels.where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.where("doc_id is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    rows = docs.where("doc_id is not null").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("label", pa.int64())]))
