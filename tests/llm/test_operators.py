@@ -193,6 +193,37 @@ def test_html_pages(spark):
         assert r.text == want(pages[r.page_id]) and r.n_chars == len(r.text)
 
 
+def test_html_hostile_pages_take_one_pass():
+    r = random.Random(1)
+    parts = ["<p>", "<div class='nav'>", "</div>", "word word. ", "<li>", "<article>", "</article>", "<a href=x>", "<b>", '"', "'", "="]
+    pages = ['<a "' * 250_000, "<a " * 300_000 + '"', "<b>" * 50_000 + "<br>x" * 100_000, "<div>" * 100_000 + "</p></x>" * 60_000, "<p " + 'a="b ' * 150_000 + ">x", "".join(r.choices(parts, k=200_000))]
+    for page in pages:
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 15, page[:20]  # a search for each tag takes minutes
+
+
+def test_html_odd_markup():
+    text = "A first sentence of the article, which says enough to be read. And a second one."
+    assert html_extract.extract(f"<article><p title=it's>{text} Don't stop.</p></article>") == f"{text} Don't stop."
+    assert html_extract.extract(f'<article><p class = "a>b">{text}</p></article>') == text
+    assert html_extract.extract(f"<article><p>{text} <math><mi>x</mi> = 1</math> <object>holds</object></p><svg><text>no</text></svg><noscript>no</noscript></article>") == f"{text} x = 1 holds"
+    assert html_extract.extract(f"<p>{text}</p><p>{text}</p>") == f"{text} {text}"  # no marks of any kind
+    assert html_extract.extract(f"<html class='js cookies'><body class='home has-sidebar'><article><p>{text}</p></article></body></html>") == text
+    assert html_extract.extract(f"<div class='wrap menu-closed'><article><p>{text}</p></article></div>") == text
+
+
+def test_html_awkward(spark):
+    rows = [(1, PAGE), (1, PAGE), (2, None), (3, ""), (4, "<p>" + LONG), (None, "<p>no id here at all, but a text")]
+    d = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("old")).withColumn("kept", F.lit(1))
+    out = html_extract.main_text(d)
+    assert out.columns == ["page_id", "kept", "text"]
+    got = sorted((r.page_id or 0, r.text) for r in out.collect())
+    whole = "Head & line First paragraph of the text. Second one, not closed."
+    assert got == [(0, "no id here at all, but a text"), (1, whole), (1, whole), (2, ""), (3, ""), (4, LONG.strip())]
+    assert html_extract.main_text(d.limit(0)).count() == 0
+
+
 def test_min_cut_is_minimal():
     r = random.Random(1)
     for _ in range(60):
@@ -213,6 +244,55 @@ def test_classifier_learns(spark):
     assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
 
 
+def test_classifier_steps_follow_the_gradient():
+    r = np.random.default_rng(3)
+    vectors, out, b = r.normal(size=(40, 5)), r.normal(size=(2, 5)), r.normal(size=2)
+    ids, weight = np.array([1, 4, 17, 39]), np.array([0.5, 0.25, 0.125, 0.125])
+    loss = lambda label: -np.log(quality_classifier.softmax(vectors, out, b, ids, weight)[0][label])
+    rate, gain = 1e-3, 1 / (weight**2).sum()
+    for label in (0, 1):
+        before, grads = [x.copy() for x in (vectors, out, b)], []
+        for x in (vectors, out, b):
+            g = np.zeros_like(x)
+            for k in np.ndindex(x.shape):
+                x[k] += 1e-6
+                up = loss(label)
+                x[k] -= 2e-6
+                g[k] = (up - loss(label)) / 2e-6
+                x[k] += 1e-6
+            grads.append(g)
+        quality_classifier.descend(vectors, out, b, ids, weight, label, rate)
+        for x, old, g, speed in zip((vectors, out, b), before, grads, (gain, 1, 0.1)):
+            assert np.allclose(x, old - rate * speed * g, atol=1e-8)
+
+
+def test_classifier_scores_are_the_softmax_of_averaged_vectors():
+    """Against features made word by word and gram by gram, and a softmax that isn't folded."""
+    r = np.random.default_rng(5)
+    vectors, out, b = r.normal(size=(1 << quality_classifier.BITS, 3)), r.normal(size=(2, 3)), r.normal(size=2)
+    texts = ["a a word word word again", "é ü x", "", "one", "ab", "tab\tand\nline  and line", "x" * 70]
+    bucket = lambda data: int(next(quality_classifier._features(np.frombuffer(data, np.uint8), np.array([0, len(data)])))[0][0])
+    want = []
+    for t in texts:
+        raw, odd = t.encode(), quality_classifier._ODD
+        words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        f = [1 if i and words[i - 1] == w else bucket(w) for i, w in enumerate(words)]
+        for n in quality_classifier.GRAMS:
+            f += [(int.from_bytes(raw[i : i + n], "little") * int(odd[n]) % (1 << 64)) >> (64 - quality_classifier.BITS) for i in range(len(raw) - n + 1)]
+        z = out @ (sum(vectors[k] for k in f) / len(f) if f else np.zeros(3)) + b
+        want.append(np.exp(z[1]) / np.exp(z).sum())
+    import pyarrow as pa
+
+    assert np.allclose(quality_classifier.scores(pa.array(texts), *quality_classifier.fold(vectors, out, b)), want)
+
+
+def test_classifier_counts_an_id_once_and_skips_null_labels(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, None), (None, 1)], "doc_id long, label int")
+    rows = [(1, "good words here"), (2, "bad bad bad"), (3, "unlabelled"), (None, "no id")]
+    once, often = (quality_classifier.fit(frame(spark, x), labels) for x in (rows, rows + rows[:1] * 50 + [(1, "zz a later text")]))
+    assert np.array_equal(once[0], often[0]) and once[1] == often[1]
+
+
 def test_classifier_awkward(spark):
     model = quality_classifier.fit(frame(spark, AWKWARD), spark.createDataFrame([(4, 1), (5, 0), (99, 1)], "doc_id long, label int"))
     got = quality_classifier.score(awkward(spark), model).collect()
@@ -511,6 +591,67 @@ def test_pii_disclosing_terms(spark):
     assert "[EMAIL]" in clean[1000] and "Zebulon" not in clean[2000] and clean[5] == rows[5][1]
 
 
+def brute_terms(rows):
+    """Flagged terms by plain counting."""
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    word = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
+    holds, with_e, with_et, texts = {}, {}, {}, {}
+    for i, (_, t) in enumerate(rows):
+        t = t or ""
+        spans = brute_pii(t)
+        words = [(m.start(), m.end(), low(m[0])) for m in word.finditer(t)]
+        for w in {w for _, _, w in words}:
+            holds[w] = holds.get(w, 0) + 1
+        free = [(a, b, w) for a, b, w in words if len(w.encode()) >= pii.MIN_TERM and not any(a < y and x < b for _, x, y in spans)]
+        for k, a, b in spans:
+            e = pii.entity(k, t[a:b])
+            with_e.setdefault(e, set()).add(i)
+            near = [x for x in free if x[0] < a][-pii.WINDOW :] + [x for x in free if x[0] >= b][: pii.WINDOW]
+            for _, _, w in near:
+                with_et.setdefault((e, w), set()).add(i)
+                texts.setdefault((e, w), set()).add(t)
+    out = set()
+    for (e, w), docs in with_et.items():
+        n, n_et, n_t = len(rows), len(docs), holds[w]
+        bits = math.log2(n * n_et / (len(with_e[e]) * n_t))
+        if len(texts[e, w]) >= pii.SUPPORT and n_et >= pii.CONFIDENCE * n_t and bits > 0 and bits >= -pii.SHARE * math.log2(n_et / n):
+            out.add(w)
+    return out
+
+
+@pytest.mark.parametrize("block", [200_000, 0])
+def test_pii_terms_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(pii, "BLOCK", block)
+    r = random.Random(11)
+    people = [("zed@example.com", ["Zebulon", "été", "Ann"]), ("10.2.3.4", ["server", "backup"]), ("+1 202 555 0100", ["frontdesk"]), ("x.y@b.org", ["Ümit", "the"])]
+    plain = ["the", "of", "river", "walks", "house", "naïve", "ab", "Blue"]
+    rows = []
+    for i in range(300):
+        parts = r.choices(plain, k=r.randint(0, 25))
+        if i % 3 == 0:
+            mail, names = r.choice(people)
+            parts[r.randint(0, len(parts)) : 0] = [r.choice(names), mail, *r.choices(names + plain, k=2)]
+        if i % 41 == 0:
+            parts.append(r.choice(people)[1][0])
+        rows.append((i, " ".join(parts)))
+    rows += [(500 + i, rows[0][1]) for i in range(150)] + [(700, None), (701, "")]
+    flagged = brute_terms(rows)
+    assert len(flagged) >= 4
+    got = {x.doc_id: x.spans for x in pii.scan(frame(spark, rows)).collect()}
+    for i, t in rows:
+        base = brute_pii(t or "")
+        words = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", t or "") if re.sub("[A-Z]", lambda m: m[0].lower(), m[0]) in flagged]
+        want = base + [(4, a, b) for a, b in words if not any(a < y and x < b for _, x, y in base)]
+        assert [(s.kind, s.start, s.end) for s in got[i]] == sorted(want), t
+
+
+def test_pii_entity_in_a_third_of_the_rows(spark):
+    rows = [(i, f"other words {i}") for i in range(60)] + [(100 + i, "Zebulon wrote from zed@example.com") for i in range(28)]
+    rows += [(200 + i, f"Zebulon {i} of zed@example.com") for i in range(2)]
+    got = {x.doc_id: x.x for x in pii.scan(frame(spark, rows)).select("doc_id", pii.joined("spans").alias("x")).collect()}
+    assert "term:0:7" in got[100] and got[5] == ""
+
+
 def test_pii_copies_prove_nothing(spark):
     rows = [(i, "a letter of Zebulon at zed@example.com today") for i in range(9)] + [(50 + i, f"other{i}") for i in range(50)]
     assert all("term" not in r.x for r in pii.scan(frame(spark, rows)).select(pii.joined("spans").alias("x")).collect())
