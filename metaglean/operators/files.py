@@ -91,14 +91,19 @@ def _text(v) -> str:
     return v if isinstance(v, str) else json.dumps(v)
 
 
+def _metadata(d: bytes, registry: Registry | None) -> tuple[dict, list[str]]:
+    m, fmt, warnings = scrub.read(d, registry)
+    m = {**m, "format": fmt}
+    if "raw" in m:
+        m["raw"] = [(k, _text(v)) for k, v in m["raw"].items()]
+    return m, warnings
+
+
 def read_metadata(df: DataFrame, content: str = "content", registry: Registry | None = None) -> DataFrame:
     """metadata (a struct), file_size and warnings."""
 
     def f(d: bytes) -> list[dict]:
-        m, fmt, warnings = scrub.read(d, registry)
-        m = {**m, "format": fmt}
-        if "raw" in m:
-            m["raw"] = [(k, _text(v)) for k, v in m["raw"].items()]
+        m, warnings = _metadata(d, registry)
         return [{"metadata": m, "file_size": len(d), "warnings": warnings}]
 
     return _mapped(df, content, f"metadata {METADATA}, file_size bigint, warnings array<string>", f, True)
@@ -107,8 +112,15 @@ def read_metadata(df: DataFrame, content: str = "content", registry: Registry |
 REMOVED = "content binary, format string, original_size bigint, cleaned_size bigint, removed_metadata array<string>, remaining_metadata array<string>, output_format string, warnings array<string>"
 
 
-def remove_metadata(df: DataFrame, options: Options | None = None, content: str = "content", registry: Registry | None = None, dry_run: bool = False) -> DataFrame:
-    """The cleaned files with what was removed, and what is still listed after it."""
+CHECKED = {"verify": "clean boolean, confidence string", "read": f"metadata {METADATA}"}
+
+
+def remove_metadata(df: DataFrame, options: Options | None = None, content: str = "content", registry: Registry | None = None, dry_run: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """The cleaned files with what was removed, and what is still listed after it.
+
+    ``also`` checks the cleaned file in the same pass: "verify" adds clean and
+    confidence, "read" what metadata can still be read.
+    """
     o = options or Options()
 
     def f(d: bytes) -> list[dict]:
@@ -122,9 +134,15 @@ def remove_metadata(df: DataFrame, options: Options | None = None, content: str
             left = scrub.types(r.content, registry)
         except Exception:  # noqa: BLE001
             left = None
-        return [{"content": r.content, "format": r.format, "original_size": r.original_size, "cleaned_size": len(r.content), "removed_metadata": r.removed_metadata, "remaining_metadata": left, "output_format": r.output_format, "warnings": r.warnings, **NO_ERROR}]
+        more = {}
+        if "verify" in also:
+            v = scrub.verify(r.content, registry)
+            more |= {"clean": v["clean"], "confidence": v["confidence"]}
+        if "read" in also:
+            more["metadata"] = _metadata(r.content, registry)[0]
+        return [{**more, "content": r.content, "format": r.format, "original_size": r.original_size, "cleaned_size": len(r.content), "removed_metadata": r.removed_metadata, "remaining_metadata": left, "output_format": r.output_format, "warnings": r.warnings, **NO_ERROR}]
 
-    return _mapped(df, content, f"{REMOVED}, {ERROR}", f, True)
+    return _mapped(df, content, ", ".join([REMOVED, *(CHECKED[x] for x in also), ERROR]), f, True)
 
 
 def verify_clean(df: DataFrame, content: str = "content", registry: Registry | None = None) -> DataFrame:
@@ -143,19 +161,18 @@ def steganography(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def heic_items(df: DataFrame, content: str = "content") -> DataFrame:
-    """item_id, kind, offset, length: extents of metadata items (the extents semi-joined with the item list)."""
+    """item_id, kind, offset, length: extents of the items that the item list names as metadata, each once; both lists are in the file."""
     from ..functions.formats import isobmff
 
-    def kinds(d: bytes) -> list[dict]:
-        return [{"item_id": i, "kind": k} for i, k in isobmff.item_kinds(d, isobmff._meta(d)[0]).items()]
-
-    def extents(d: bytes) -> list[dict]:
-        return [{"item_id": i, "offset": o, "length": n} for i, o, n in isobmff.item_extents(d, isobmff._meta(d)[0])]
+    def f(d: bytes) -> list[dict]:
+        meta = isobmff._meta(d)[0]
+        kinds, found = isobmff.item_kinds(d, meta), {}
+        for i, o, n in isobmff.item_extents(d, meta):
+            if i in kinds:
+                found.setdefault((o, n), {"item_id": i, "kind": kinds[i], "offset": o, "length": n})
+        return list(found.values())
 
-    keys = [c for c in df.columns if c != content]
-    a = _mapped(df, content, "item_id bigint, kind string", kinds, True)
-    b = _mapped(df, content, "item_id bigint, offset bigint, length bigint", extents, True)
-    return b.join(a, [*keys, "item_id"]).dropDuplicates([*keys, "offset", "length"])
+    return _mapped(df, content, "item_id bigint, kind string, offset bigint, length bigint", f, True)
 
 
 def svg_text(content: str = "content") -> Column:
@@ -196,14 +213,10 @@ def inspect_text(metadata: str = "metadata", size: str = "file_size") -> Column:
 
 
 def metadata_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
-    """key, field, before, after: fields whose values differ, nested ones by their full name."""
-
-    def fields(df: DataFrame, name: str) -> DataFrame:
-        every = [(t, F.col(f"metadata.{t}")) for t in (*TEXTS, "orientation", "has_xmp", "has_icc", "has_iptc", "has_thumbnail")]
-        for group, spec in (("exif", EXIF), ("gps", GPS)):
-            every += [(f"{group}.{n}", F.col(f"metadata.{group}.{n}")) for n in (x.split(":")[0].strip() for x in spec.split(","))]
-        pairs = F.array(*(F.struct(F.lit(n).alias("field"), c.cast("string").alias(name)) for n, c in every))
-        return df.select(key, F.explode(pairs).alias("x")).select(key, "x.*").where(F.col(name).isNotNull())
-
-    both = fields(before, "before").join(fields(after, "after"), [key, "field"], "full_outer")
-    return both.where(~F.col("before").eqNullSafe(F.col("after"))).orderBy(key, "field")
+    """key, field, before, after: fields whose values differ, nested ones by their full name, in the order of their names."""
+    names = [*TEXTS, "orientation", "has_xmp", "has_icc", "has_iptc", "has_thumbnail"]
+    names += [f"{group}.{x.split(':')[0].strip()}" for group, spec in (("exif", EXIF), ("gps", GPS)) for x in spec.split(",")]
+    both = before.select(key, F.col("metadata").alias("a")).join(after.select(key, F.col("metadata").alias("b")), key, "full_outer")
+    value = lambda side, n: F.col(f"{side}.{n}").cast("string")
+    rows = F.array(*(F.struct(F.lit(n).alias("field"), value("a", n).alias("before"), value("b", n).alias("after")) for n in sorted(names)))
+    return both.select(key, F.explode(F.filter(rows, lambda x: ~x.before.eqNullSafe(x.after))).alias("x")).select(key, "x.*")

@@ -24,6 +24,34 @@ def process(scanned: DataFrame, options: Options | None = None, output_dir: str
     return done.withColumn("output_path", F.when(F.col("success"), target))
 
 
+#: Files that lose their output path to another, as far as they are sent to every task.
+FEW_LOST = 100_000
+
+
+def claimed(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``rows`` in which an output path belongs to one file only, that with the least name.
+
+    The others fail and say which file has it.  ``before`` (file, output_path)
+    holds what has been written already.  Contents move only if very many lose.
+    """
+    wanted = rows.where("success").select("file", "output_path")
+    mine = wanted.groupBy("output_path").agg(F.min("file").alias("owner"))
+    if before is not None:
+        theirs = before.groupBy("output_path").agg(F.min("file").alias("earlier"))
+        mine = mine.join(theirs, "output_path", "left").select("output_path", F.coalesce("earlier", "owner").alias("owner"))
+    lost = wanted.join(mine, "output_path").where("owner <> file").select("file", "owner").distinct()
+    rows = rows.join(F.broadcast(lost) if lost.count() <= FEW_LOST else lost, "file", "left")
+    gone = F.col("owner").isNotNull()
+    rows = rows.withColumn("error", F.when(gone, F.concat(F.lit("output path is that of "), "owner")).otherwise(F.col("error")))
+    return rows.withColumn("success", F.col("success") & ~gone).withColumn("output_path", F.when(~gone, F.col("output_path"))).drop("owner")
+
+
+def shown(df: DataFrame) -> None:
+    """Prints every row of a report, a partition at a time."""
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        print(*("" if x is None else x for x in r), sep="\t")
+
+
 def run(spark: SparkSession, job: Job, results: str) -> DataFrame:
     """Runs a job; its result rows are written to ``results`` and returned."""
     folders, singles, broken = sources.classify(spark, list(job.inputs))
@@ -37,7 +65,7 @@ def run(spark: SparkSession, job: Job, results: str) -> DataFrame:
     rows = process(scanned, job.options, job.output_dir, job.suffix, job.in_place, job.dry_run)
     if not job.dry_run:
         rows.write.mode("overwrite").parquet(f"{results}/cleaned")
-        rows = spark.read.parquet(f"{results}/cleaned")
+        rows = claimed(spark.read.parquet(f"{results}/cleaned"))
         written = sinks.write_files(rows.where("success"), source="file", skip_existing=job.skip_existing, backup_suffix=job.backup_suffix)
         written.write.mode("overwrite").parquet(f"{results}/written")
         w = spark.read.parquet(f"{results}/written").select(F.col("path").alias("output_path"), "written", F.col("error").alias("write_error"))
@@ -60,13 +88,12 @@ def main(argv: list[str]) -> int:
         return 0
     if job.inspect or job.stego:
         df = sources.scan(spark, list(job.inputs), job.recursive, job.include, job.exclude).select("path", "content")
-        shown = files.steganography(df) if job.stego else files.read_metadata(df).select("path", files.inspect_text().alias("text"))
-        shown.show(1000, False)
+        shown(files.steganography(df) if job.stego else files.read_metadata(df).select("path", files.inspect_text().alias("text")))
         return 0
     rows = run(spark, job, results)
     names = {"output_path": "output", "original_size": "original", "cleaned_size": "cleaned", "removed_metadata": "removed"}
     if not job.quiet:
-        sinks.print_entries(rows.withColumnsRenamed(names).orderBy("file"), job.print_as).show(1000, False)
+        shown(sinks.print_entries(rows.withColumnsRenamed(names).orderBy("file"), job.print_as))
     totals = audit(rows)
     totals.write.mode("overwrite").json(f"{results}/audit")
     return totals.select(exit_code().alias("code")).first()["code"]

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.textsql import parse_data_url, selected
 
-#: One row holds a whole file, so splits stay small.
-MAX_SPLIT = "32m"
-
 
 def scan(spark: SparkSession, paths: str | list[str], recursive: bool = True, include: tuple[str, ...] = (), exclude: tuple[str, ...] = (), max_length: int | None = None) -> DataFrame:
     """path, modificationTime, length, content of the media files in folders.
@@ -36,7 +33,10 @@ def stream(spark: SparkSession, folder: str, include: tuple[str, ...] = (), excl
 
 def from_data_urls(df: DataFrame, column: str, content: str = "content", error: str = "error_message") -> DataFrame:
     """Bytes of a column of data URLs; rows that are none have an error instead."""
-    return df.withColumn("__parsed", parse_data_url(column)).withColumn(content, F.col("__parsed.content")).withColumn(error, F.col("__parsed.error")).drop("__parsed")
+    parsed = "parsed_"
+    while parsed in {c.lower() for c in df.columns}:
+        parsed += "_"
+    return df.withColumn(parsed, parse_data_url(column)).withColumn(content, F.col(f"{parsed}.content")).withColumn(error, F.col(f"{parsed}.error")).drop(parsed)
 
 
 def classify(spark: SparkSession, inputs: list[str]) -> tuple[list[str], list[str], list[str]]:

@@ -109,6 +109,39 @@ def test_batch_job(spark, tmp_path):
     assert sorted(os.path.basename(r.output_path) for r in dry.collect()) == ["a-clean.jpg", "bad-clean.png"]
 
 
+def test_output_paths_belong_to_one_file(spark, tmp_path):
+    for folder, bits in (("a", 1), ("b", 2)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "same.png").write_bytes(samples.png(bits, "x"))
+    job = options.parse([str(tmp_path / "a"), str(tmp_path / "b"), "--output-dir", f"file:{tmp_path}/out"])
+    rows = {r.file.split("/")[-2]: r for r in batch.run(spark, job, str(tmp_path / "report")).collect()}
+    assert len(rows) == 2 and rows["a"].success and not rows["b"].success and "/a/same.png" in rows["b"].error
+    assert (tmp_path / "out/same-clean.png").read_bytes() == samples.png(0, "")
+
+
+def test_watch_reads_every_input(spark, tmp_path):
+    for i, folder in enumerate(("a", "b", "a/deep")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / f"f{i}.png").write_bytes(samples.png(3, "x"))
+    job = options.parse([str(tmp_path / "a"), str(tmp_path / "b"), str(tmp_path / "a/deep"), "--output-dir", f"file:{tmp_path}/out"])
+    watch.watch(spark, job, str(tmp_path / "results"), once=True).awaitTermination(120)
+    (tmp_path / "b/f0.png").write_bytes(samples.png(1, "another file of that name"))
+    watch.watch(spark, job, str(tmp_path / "results"), once=True).awaitTermination(120)
+    assert sorted(f for f in os.listdir(tmp_path / "out") if not f.startswith(".")) == ["f0-clean.png", "f1-clean.png", "f2-clean.png"]
+    lost = spark.read.parquet(str(tmp_path / "results-written")).where("error is not null").collect()
+    assert len(lost) == 1 and "b/f0.png" in lost[0].error and "a/f0.png" in lost[0].error
+
+
+def test_reports_print_every_row(spark, capsys):
+    batch.shown(spark.range(3000).select(F.concat(F.lit("line "), "id")))
+    assert len(capsys.readouterr().out.split("\n")) == 3001
+
+
+def test_data_urls_leave_columns_alone(spark):
+    d = spark.createDataFrame([("data:;base64,eA==", 1, 2)], "u string, __parsed int, parsed_ int")
+    assert sources.from_data_urls(d, "u").columns == ["u", "__parsed", "parsed_", "content", "error_message"]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(6):
