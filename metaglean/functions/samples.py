@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from .core import put16, put32
 from .exif import app1, build, gps_block
 from .formats.png import SIGNATURE, chunk
@@ -14,8 +16,17 @@ KINDS = "jpeg png webp gif svg tiff pdf".split()
 XMP = b"http://ns.adobe.com" + b"/xap/1.0/\0"
 
 
+#: Characters that one JPEG segment holds with its headers.
+LONG = 60_000
+
+
+def fitting(text: str) -> str:
+    """A text that fits a segment, or the digest of all of a longer one."""
+    return text if len(text) <= LONG else hashlib.md5(text.encode()).hexdigest()
+
+
 def exif_block(text: str, camera: str = "Maker") -> bytes:
-    return build([(271, camera.encode()), (305, text.encode())])
+    return build([(271, camera.encode()), (305, fitting(text).encode())])
 
 
 def segment(marker: int, payload: bytes) -> bytes:
@@ -27,11 +38,11 @@ def jpeg(bits: int, text: str, extra: bytes = b"") -> bytes:
     if bits & 2:
         out.append(app1(exif_block(text)))
     if bits & 8:
-        out.append(segment(0xE1, XMP + b"<x:xmpmeta/>" + text.encode()))
+        out.append(segment(0xE1, XMP + b"<x:xmpmeta/>" + fitting(text).encode()))
     if bits & 4:
         out.append(segment(0xE2, b"ICC_PROFILE\0\1\1" + b"p" * 20))
     if bits & 1:
-        out.append(segment(0xFE, text.encode()))
+        out += [segment(0xFE, text[i : i + LONG].encode()) for i in range(0, max(1, len(text)), LONG)]
     out += [extra, segment(0xDB, b"\0" + bytes(range(1, 65))), segment(0xDA, b"\1\1\0\0\x3f\0") + b"\x12\x34\x56", b"\xff\xd9"]
     return b"".join(out)
 
@@ -159,7 +170,17 @@ def quicktime(texts: dict[str, str], created: int = 0, major: str = "isom") -> b
     return ftyp(major, "isom") + box("moov", box("mvhd", put32(0) + put32(created) + put32(created) + b"\0" * 8) + box("udta", udta)) + box("mdat", b"frames")
 
 
-def located(lat: float, lon: float, precision: str = "exact") -> bytes:
-    """A JPEG with coordinates."""
-    d = jpeg(0, "")
-    return d[:2] + app1(gps_block(lat, lon, precision)) + d[2:]
+def located(lat: float, lon: float, precision: str = "exact", kind: int = 0) -> bytes:
+    """A JPEG, PNG or WebP (by ``kind``) with coordinates."""
+    block = gps_block(lat, lon, precision)
+    if kind == 2:
+        parts = [("VP8 ", b"\x30\1\0\x9d\x01\x2a" + (10).to_bytes(2, "little") + (20).to_bytes(2, "little")), ("EXIF", block)]
+        return riff([("VP8X", extended(parts)), *parts])
+    d = png(0, "") if kind else jpeg(0, "")
+    return d[:33] + chunk(b"eXIf", block) + d[33:] if kind else d[:2] + app1(block) + d[2:]
+
+
+def raw(inner: bytes) -> bytes:
+    """A proprietary raw file around a preview JPEG."""
+    entry = lambda tag, value: put16(tag, True) + put16(4, True) + put32(1, True) + put32(value, True)
+    return (b"II*\0\x10\0\0\0CR\2\0" + b"\0" * 4 + put16(2, True) + entry(513, 100) + entry(514, len(inner)) + b"\0" * 4).ljust(100, b"\0") + inner

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,10 +131,10 @@ def selected_files(spark, sf_dir):
     return _paths(spark, sf_dir).where(T.selected(F.col("path"), ("*.jpg", "*.png", "*.m4?"), ("*1*",))).select("id")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN md5(substr(text, 1, 100)) END AS digest,
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN md5(coalesce(text, '')) END AS digest,
     CASE doc_id % 6 WHEN 2 THEN 'no comma' WHEN 3 THEN 'not base64' WHEN 4 THEN 'unknown type' WHEN 5 THEN 'not a data URL' END AS error FROM documents""")
 def data_url_roundtrip(spark, sf_dir):
-    data = F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 100), "utf-8")), r"\s", "")
+    data = F.regexp_replace(F.base64(F.encode(F.coalesce("text", F.lit("")), "utf-8")), r"\s", "")
     k = F.col("doc_id") % 6
     heads = {0: "data:image/png;base64,", 1: "data:;base64,", 2: "data:image/png;base64", 3: "data:image/png,", 4: "data:text/html;base64,", 5: "http:"}
     head = F.create_map(*(F.lit(x) for i in heads.items() for x in i))[k.cast("int")]
@@ -155,23 +156,36 @@ def u32_roundtrip(spark, sf_dir):
 
 @query(f"SELECT id, CAST(strpos(s, 'e') - 1 AS INTEGER) AS at, s LIKE 'The%' AS starts FROM {I}")
 def latin1_indexof(spark, sf_dir):
-    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(C.snippet(), "utf-8").alias("c"))
+    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(C.letters(), "utf-8").alias("c"))
     return d.select("id", F.expr(B.index_of("c", b"e")).alias("at"), F.expr(B.matches_at("c", 0, b"The")).alias("starts"))
 
 
-def _structure(kind: str, rows: str):
-    k = samples.KINDS.index(kind)
+_EXIF = "(44 + CASE WHEN length(f) + 1 > 4 THEN length(f) + 1 + (length(f) + 1) % 2 ELSE 0 END)"
+_SUB = "(length(s) + (length(s) + 254) // 255 + 1)"  # text in runs of 255 bytes
+#: By format where its parts begin, and of each part the bits it needs, its name, its size, and how often it stands.
+_PARTS = {
+    "jpeg": (2, [(0, "FFE0", "18"), (2, "FFE1", f"10 + {_EXIF}"), (8, "FFE1", "45 + length(f)"), (4, "FFE2", "38"), (1, "FFFE", f"4 + least({samples.LONG}, length(s) - {samples.LONG} * n)", f"(length(s) - 1) // {samples.LONG}"), (0, "FFDB", "69"), (0, "FFDA", "13"), (0, "FFD9", "2")]),
+    "png": (8, [(0, "IHDR", "25"), (4, "iCCP", "25"), (2, "eXIf", f"12 + {_EXIF}"), (0, "IDAT", "21"), (1, "tEXt", "20 + length(s)"), (8, "iTXt", "34 + length(s)"), (0, "IEND", "12")]),
+    "webp": (12, [(14, "VP8X", "18"), (4, "ICCP", "22"), (0, "VP8 ", "18"), (2, "EXIF", f"8 + {_EXIF}"), (8, "XMP ", "8 + length(s) + length(s) % 2")]),
+    "gif": (0, [(0, "header", "6"), (0, "screen", "7"), (0, "colours", "6"), (0, "extension", "19"), (1, "extension", f"2 + {_SUB}"), (4, "extension", "23"), (8, "extension", f"14 + {_SUB}"), (0, "image", "15"), (0, "trailer", "1")]),
+}
 
+
+def _structure(kind: str):
     def f(spark, sf_dir):
-        s = O.structure(_kind(C.images(spark, sf_dir), kind)).where("error_class is null")
-        return s.groupBy("id").agg(F.count("*").alias("parts"), F.max(F.col("offset") + F.col("size")).alias("end"), F.min("offset").alias("start"))
+        return O.structure(_kind(C.images(spark, sf_dir), kind)).where("error_class is null").select("id", "kind", "offset", "size")
 
-    base = f"SELECT id, CAST({rows} AS BIGINT) AS parts FROM {I} WHERE k = {k} AND NOT broken"
-    return (lambda s, d: f(s, d).select("id", "parts")), base
+    start, parts = _PARTS[kind]
+    rows = [
+        f"SELECT id, {i} AS o, n, '{name}' AS kind, CAST({size} AS BIGINT) AS size FROM {I}, unnest(generate_series(0, {more[0] if more else 0})) AS g(n) WHERE k = {samples.KINDS.index(kind)} AND NOT broken"
+        + (f" AND (b & {bits}) > 0" if bits else "")
+        for i, (bits, name, size, *more) in enumerate(parts)
+    ]
+    return f, f'SELECT id, kind, CAST({start} + coalesce(sum(size) OVER (PARTITION BY id ORDER BY o, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", size FROM (' + " UNION ALL ".join(rows) + ")"
 
 
-for _name, _k, _rows in (("jpeg_segments", "jpeg", f"4 + {COUNT}"), ("png_chunks", "png", f"3 + {COUNT}"), ("webp_chunks", "webp", f"1 + {COUNT} - (b & 1) + CASE WHEN (b & 14) > 0 THEN 1 ELSE 0 END"), ("gif_blocks", "gif", f"6 + {COUNT} - ((b >> 1) & 1)")):
-    QUERIES[_name], ORACLE[_name] = _structure(_k, _rows)
+for _name, _k in (("jpeg_segments", "jpeg"), ("png_chunks", "png"), ("webp_chunks", "webp"), ("gif_blocks", "gif")):
+    QUERIES[_name], ORACLE[_name] = _structure(_k)
 
 
 @query(f"""SELECT id, '256' || CASE WHEN (b & 1) > 0 THEN ',270' ELSE '' END || CASE WHEN (b & 2) > 0 THEN ',271' ELSE '' END || CASE WHEN (b & 8) > 0 THEN ',700' ELSE '' END || CASE WHEN (b & 4) > 0 THEN ',34675' ELSE '' END AS tags,
@@ -182,19 +196,29 @@ def ifd_entries(spark, sf_dir):
     return s.join(d.select("id", D.tiff_header().alias("h")), "id").select("id", "tags", "h.little_endian", "h.ifd0_offset")
 
 
-@query("""SELECT kind, depth, count(*) AS boxes FROM (SELECT unnest(['ftyp', 'moov', 'mdat']) AS kind, 0 AS depth FROM customer UNION ALL SELECT unnest(['mvhd', 'udta']), 1 FROM customer
-    UNION ALL SELECT unnest(['©mak', '©nam']), 2 FROM customer UNION ALL SELECT '©xyz', 2 FROM customer WHERE c_custkey % 2 = 1) GROUP BY ALL""")
+_MOVIES = """(SELECT c_custkey AS id, c_custkey % 5 = 0 AS qt, c_name AS mak, c_mktsegment AS nam, CASE WHEN c_custkey % 2 = 1 THEN '+' || c_custkey % 80 || '.5-' || c_custkey % 170 || '.25/' END AS xyz FROM customer)"""
+_BOXES = f"(SELECT *, 24 + length(mak) AS a, 24 + length(nam) AS b, coalesce(24 + length(xyz), 0) AS x FROM {_MOVIES})"
+
+
+@query(f"""SELECT id, kind, CAST(depth AS INTEGER) AS depth, CAST(pos AS BIGINT) AS "offset", CAST(size AS BIGINT) AS size FROM (SELECT id, 'ftyp' AS kind, 0 AS depth, 0 AS pos, 20 AS size FROM {_BOXES}
+    UNION ALL SELECT id, 'moov', 0, 20, 44 + a + b + x FROM {_BOXES} UNION ALL SELECT id, 'mvhd', 1, 28, 28 FROM {_BOXES} UNION ALL SELECT id, 'udta', 1, 56, 8 + a + b + x FROM {_BOXES}
+    UNION ALL SELECT id, '©mak', 2, 64, a FROM {_BOXES} UNION ALL SELECT id, '©nam', 2, 64 + a, b FROM {_BOXES} UNION ALL SELECT id, '©xyz', 2, 64 + a + b, x FROM {_BOXES} WHERE x > 0
+    UNION ALL SELECT id, 'mdat', 0, 64 + a + b + x, 14 FROM {_BOXES})""")
 def isobmff_boxes(spark, sf_dir):
-    return O.structure(C.movies(spark, sf_dir)).groupBy("kind", "depth").agg(F.count("*").alias("boxes"))
+    return O.structure(C.movies(spark, sf_dir)).select("id", "kind", "depth", "offset", "size")
 
 
 _PART = "length(p_name)"
 
 
-@query(f"""SELECT p_partkey AS id, 'exif' AS kind, CAST(48 + CASE WHEN {_PART} + 1 > 4 THEN {_PART} + 1 + ({_PART} + 1) % 2 ELSE 0 END AS BIGINT) AS length FROM part
-    UNION ALL SELECT p_partkey, 'xmp', 6 FROM part WHERE p_partkey % 2 = 1""")
+#: By part: bytes of the EXIF item, whether there is an XMP item, of the location box, and where the items begin.
+_STILLS = f"""(SELECT *, 14 + CASE WHEN v = 2 THEN 4 ELSE 2 END + (CASE WHEN x THEN 2 ELSE 1 END) * (CASE WHEN v = 2 THEN 4 ELSE 2 END + CASE WHEN v > 0 THEN 2 ELSE 0 END + 12) AS loc, 35 + CASE WHEN x THEN 41 ELSE 0 END AS inf, CASE WHEN v = 0 THEN 30 ELSE 0 END AS prp
+    FROM (SELECT p_partkey AS id, p_partkey % 2 = 1 AS x, p_partkey % 3 AS v, 48 + CASE WHEN {_PART} + 1 > 4 THEN {_PART} + 1 + ({_PART} + 1) % 2 ELSE 0 END AS e FROM part))"""
+
+
+@query(f"""SELECT id, 'exif' AS kind, CAST(40 + inf + loc + prp AS BIGINT) AS "offset", CAST(e AS BIGINT) AS length FROM {_STILLS} UNION ALL SELECT id, 'xmp', CAST(40 + inf + loc + prp + e AS BIGINT), 6 FROM {_STILLS} WHERE x""")
 def heic_item_extents(spark, sf_dir):
-    return O.heic_items(C.stills(spark, sf_dir)).select("id", "kind", "length")
+    return O.heic_items(C.stills(spark, sf_dir)).select("id", "kind", "offset", "length")
 
 
 @query("SELECT p_partkey AS id, 'EXIF' || CASE WHEN p_partkey % 2 = 1 THEN ';XMP' ELSE '' END || CASE WHEN p_partkey % 3 = 0 THEN ';ICC Profile' ELSE '' END AS types, p_name AS software, 'Maker' AS make FROM part")
@@ -245,9 +269,9 @@ def svg_strip(spark, sf_dir):
     return d.select("id", F.length("x").cast("long").alias("chars"), F.md5(F.encode("x", "utf-8")).alias("digest"))
 
 
-@query(f"SELECT id, CASE WHEN (b & 2) > 0 THEN 'Maker' END AS make, CASE WHEN (b & 2) > 0 THEN s END AS software, CASE WHEN (b & 8) > 0 THEN true END AS has_xmp, CASE WHEN (b & 4) > 0 THEN true END AS has_icc FROM {I} WHERE k < 3 AND NOT broken")
+@query(f"SELECT id, CASE WHEN (b & 2) > 0 THEN 'Maker' END AS make, CASE WHEN (b & 2) > 0 THEN f END AS software, CASE WHEN (b & 8) > 0 THEN true END AS has_xmp, CASE WHEN (b & 4) > 0 THEN true END AS has_icc FROM {I} WHERE k < 3")
 def exif_read(spark, sf_dir):
-    d = O.read_metadata(_kind(C.images(spark, sf_dir, False).where("id % 17 <> 5"), "jpeg", "png", "webp"))
+    d = O.read_metadata(_kind(C.images(spark, sf_dir, False), "jpeg", "png", "webp"))
     return d.select("id", "metadata.make", "metadata.software", "metadata.has_xmp", "metadata.has_icc")
 
 
@@ -268,9 +292,8 @@ def gps_truncate(spark, sf_dir):
 
 @query(f"SELECT id, round(sign(lat) * floor(abs(lat) * 100) / 100.0, 6) + 0.0 AS latitude, round(sign(lon) * floor(abs(lon) * 100) / 100.0, 6) + 0.0 AS longitude FROM {C.PLACES}")
 def gps_redact_pipeline(spark, sf_dir):
-    cleaned = O.remove_metadata(C.places(spark, sf_dir), Options(gps_redact="city")).select("id", "content")
     g = F.col("metadata.gps")
-    return O.read_metadata(cleaned).select("id", (F.round(g.latitude, 6) + 0.0).alias("latitude"), (F.round(g.longitude, 6) + 0.0).alias("longitude"))
+    return O.remove_metadata(C.places(spark, sf_dir), Options(gps_redact="city"), also=("read",)).select("id", (F.round(g.latitude, 6) + 0.0).alias("latitude"), (F.round(g.longitude, 6) + 0.0).alias("longitude"))
 
 
 @query("SELECT c_custkey AS id, (c_custkey % 80) + 0.5::DOUBLE AS latitude, -((c_custkey % 170) + 0.25::DOUBLE) AS longitude FROM customer")
@@ -280,9 +303,6 @@ def iso6709(spark, sf_dir):
     return c.select(F.col("c_custkey").alias("id"), p.alias("p")).select("id", "p.latitude", "p.longitude")
 
 
-_EXIF = "(44 + CASE WHEN length(s) + 1 > 4 THEN length(s) + 1 + (length(s) + 1) % 2 ELSE 0 END)"
-
-
 @query(f"""SELECT id, CAST(CASE WHEN (b & 1) > 0 THEN 20 + length(s) ELSE 0 END + CASE WHEN (b & 2) > 0 THEN 12 + {_EXIF} ELSE 0 END + CASE WHEN (b & 4) > 0 THEN 25 ELSE 0 END
     + CASE WHEN (b & 8) > 0 THEN 34 + length(s) ELSE 0 END AS BIGINT) AS removed FROM {I} WHERE k = 1 AND NOT broken""")
 def remove_sizes(spark, sf_dir):
@@ -292,14 +312,35 @@ def remove_sizes(spark, sf_dir):
 
 @query(f"SELECT {KIND} AS format, true AS clean, count(*) AS files FROM {I} WHERE k < 6 AND NOT broken GROUP BY ALL")
 def remove_then_verify(spark, sf_dir):
-    r = O.remove_metadata(_kind(C.images(spark, sf_dir), *samples.KINDS[:6])).where("error_class is null").select("id", "content")
-    return O.verify_clean(r).groupBy("format", "clean").agg(F.count("*").alias("files"))
-
-
-@query(f"SELECT format, count(*) AS files FROM (SELECT {KIND} AS format FROM {I} WHERE k IN (5, 6) UNION ALL SELECT 'heic' FROM part UNION ALL SELECT CASE WHEN c_custkey % 5 = 0 THEN 'mov' ELSE 'mp4' END FROM customer) GROUP BY ALL")
+    r = O.remove_metadata(_kind(C.images(spark, sf_dir), *samples.KINDS[:6]), also=("verify",)).where("error_class is null")
+    return r.groupBy("format", "clean").agg(F.count("*").alias("files"))
+
+
+_NUL = "repeat('00', CAST({0} AS INTEGER))"
+_HEX8 = "printf('%08x', {0})"
+_TIFF_SIZE = "(14 + 12 * (1 + (b & 1) + ((b >> 1) & 1) + ((b >> 2) & 1) + ((b >> 3) & 1)) + CASE WHEN (b & 1) > 0 AND length(s) > 3 THEN length(s) + 1 + (length(s) + 1) % 2 ELSE 0 END + CASE WHEN (b & 2) > 0 THEN 6 ELSE 0 END + CASE WHEN (b & 4) > 0 THEN 8 ELSE 0 END + CASE WHEN (b & 8) > 0 THEN 12 ELSE 0 END)"
+_TIFF = f"upper('4d4d002a000000080001010000030000000100010000' || {_NUL.format(f'{_TIFF_SIZE} - 22')})"
+_PDF = """'%PDF-1.4|1 0 obj|<< /Type /Catalog /Pages 2 0 R >>|endobj|' || CASE WHEN (b & 3) > 0 THEN '4 0 obj|<< ' || CASE WHEN (b & 1) > 0 THEN '/Author (' || repeat(' ', length(s)) || ') ' ELSE '' END || CASE WHEN (b & 2) > 0 THEN '/CreationDate (                 ) ' ELSE '' END || '>>|endobj|' ELSE '' END
+    || CASE WHEN (b & 8) > 0 THEN '5 0 obj|<< /Type /Metadata /Subtype /XML /Length 12 >>|stream|             endstream|endobj|' ELSE '' END || CASE WHEN (b & 4) > 0 THEN '6 0 obj|<< /S /JavaScript /JS (app) >>|endobj|' ELSE '' END
+    || 'trailer|<< /Root 1 0 R ' || CASE WHEN (b & 3) > 0 THEN '/Info 4 0 R ' ELSE '' END || '>>|%%EOF|' || repeat(' ', 20)"""
+_ATOM = lambda name, n: f"{_HEX8.format(n)} || '{name.encode('latin-1').hex()}' || {_NUL.format(f'{n} - 8')}"
+_MOVIE = f"""'0000001466747970' || CASE WHEN qt THEN '71742020' ELSE '69736f6d' END || '0000000069736f6d' || {_HEX8.format('44 + a + b + x')} || '6d6f6f76' || '0000001c6d766864' || {_NUL.format(20)} || {_HEX8.format('8 + a + b + x')} || '75647461'
+    || {_ATOM('©mak', 'a')} || {_ATOM('©nam', 'b')} || CASE WHEN x > 0 THEN {_ATOM('©xyz', 'x')} ELSE '' END || '0000000e6d646174' || '{b"frames".hex()}'"""
+_ID = "CASE WHEN v = 2 THEN '0000' ELSE '' END || "
+_PLACE = lambda i, at, n: f"{_ID}'000{i}' || CASE WHEN v > 0 THEN '0000' ELSE '' END || '00000001' || {_HEX8.format(at)} || {_HEX8.format(n)}"
+_STILL = f"""'00000014667479706865696300000000' || '{b"mif1".hex()}' || {_HEX8.format('12 + inf + loc + prp')} || '6d65746100000000' || {_HEX8.format('inf')} || '69696e6600000000' || CASE WHEN x THEN '0002' ELSE '0001' END || '00000015696e66650200000000010000{b"Exif".hex()}00'
+    || CASE WHEN x THEN '00000029696e66650200000000020000{b"mime".hex()}00{b"application/rdf+xml".hex()}00' ELSE '' END || {_HEX8.format('loc')} || '696c6f63' || '0' || v || '0000004400' || {_ID}CASE WHEN x THEN '0002' ELSE '0001' END
+    || {_PLACE(1, '40 + inf + loc + prp', 'e')} || CASE WHEN x THEN {_PLACE(2, '40 + inf + loc + prp + e', '6')} ELSE '' END || CASE WHEN prp > 0 THEN '0000001e69707270000000166970636f0000000e636f6c72000000000000' ELSE '' END
+    || {_HEX8.format('14 + e + CASE WHEN x THEN 6 ELSE 0 END')} || '6d646174' || {_NUL.format('e + CASE WHEN x THEN 6 ELSE 0 END')} || '{b"pixels".hex()}'"""
+
+
+@query(f"""SELECT id, 'tiff' AS format, md5(unhex({_TIFF})) AS digest, true AS as_long FROM {I} WHERE k = 5 UNION ALL SELECT id, 'pdf', md5(replace({_PDF}, '|', chr(10))), true FROM {I} WHERE k = 6
+    UNION ALL SELECT id, 'heic', md5(unhex({_STILL})), true FROM {_STILLS} UNION ALL SELECT id, CASE WHEN qt THEN 'mov' ELSE 'mp4' END, md5(unhex({_MOVIE})), true FROM {_BOXES}""")
 def inplace_length(spark, sf_dir):
+    """What is blanked in place: every byte of the cleaned file."""
     every = _kind(C.images(spark, sf_dir), "tiff", "pdf").union(C.stills(spark, sf_dir)).union(C.movies(spark, sf_dir))
-    return O.remove_metadata(every).where("original_size = cleaned_size").groupBy("format").agg(F.count("*").alias("files"))
+    r = O.remove_metadata(every).where("error_class is null")
+    return r.select("id", "format", F.md5("content").alias("digest"), (F.col("original_size") == F.col("cleaned_size")).alias("as_long"))
 
 
 @query(f"SELECT id, (b & 4) > 0 AS kept, CASE WHEN (b & 4) > 0 THEN replace(replace(replace(';' || types || ';', ';ICC Profile;', ';'), ';;', ';'), ' ', ' ') ELSE ';' || types || ';' END AS removed FROM {TYPED} WHERE k IN (0, 1, 2, 5) AND NOT broken AND types <> ''")
@@ -324,20 +365,20 @@ def normalize_datetime(spark, sf_dir):
     return o.select("o_orderkey", T.normalize_datetime(iso).alias("a"), T.normalize_datetime(own).alias("b"), T.normalize_datetime(F.col("o_orderpriority")).alias("c"))
 
 
-@query(f"SELECT id, CASE k WHEN 0 THEN 'jpeg' ELSE 'png' END || '-trailing-data' AS code, CAST(id % 40 AS BIGINT) AS size FROM {I} WHERE id % 17 <> 5 AND (id % 13 <> 0 OR id % 40 >= 8) AND (k = 0 AND id % 40 > 16 OR k = 1 AND id % 40 > 4) UNION ALL SELECT id, 'stego-tool-signature', NULL FROM {I} WHERE id % 17 <> 5 AND k < 2 AND id % 13 = 0 AND id % 40 >= 8")
+@query(f"""SELECT id, CASE k WHEN 0 THEN 'jpeg' ELSE 'png' END || '-trailing-data' AS code, CAST(t AS BIGINT) AS size FROM (SELECT id, k, CASE WHEN id % 13 = 0 THEN greatest(id % 40, 8) ELSE id % 40 END AS t FROM {I}) WHERE k = 0 AND t > 16 OR k = 1 AND t > 4
+    UNION ALL SELECT id, 'stego-tool-signature', NULL FROM {I} WHERE k < 2 AND id % 13 = 0""")
 def stego_scan(spark, sf_dir):
-    d = _kind(C.images(spark, sf_dir).where("id % 17 <> 5"), "jpeg", "png")
+    d = _kind(C.images(spark, sf_dir, False), "jpeg", "png")
     tail = F.when(F.col("id") % 13 == 0, F.lit(b"StegHide")).otherwise(F.lit(b""))
-    small = F.concat("content", F.expr("unhex(repeat('00', greatest(0, cast(id % 40 AS int) - CASE WHEN id % 13 = 0 THEN 8 ELSE 0 END)))"), tail)
-    return O.steganography(d.where("id % 13 <> 0 or id % 40 >= 8").select("id", small.alias("content"))).select("id", "code", "size")
+    more = F.concat("content", F.expr("unhex(repeat('00', greatest(0, cast(id % 40 AS int) - CASE WHEN id % 13 = 0 THEN 8 ELSE 0 END)))"), tail)
+    return O.steganography(d.select("id", more.alias("content"))).select("id", "code", "size")
 
 
-@query(f"""SELECT field, count(*) AS files FROM (SELECT unnest(['make', 'software']) AS field FROM {I} WHERE k < 3 AND NOT broken AND (b & 2) > 0
-    UNION ALL SELECT 'has_xmp' FROM {I} WHERE k < 3 AND NOT broken AND (b & 8) > 0 UNION ALL SELECT 'has_icc' FROM {I} WHERE k < 3 AND NOT broken AND (b & 4) > 0) GROUP BY field""")
+@query(f"""SELECT id, 'make' AS field, 'Maker' AS before FROM {I} WHERE k < 3 AND (b & 2) > 0 UNION ALL SELECT id, 'software', f FROM {I} WHERE k < 3 AND (b & 2) > 0
+    UNION ALL SELECT id, 'has_xmp', 'true' FROM {I} WHERE k < 3 AND (b & 8) > 0 UNION ALL SELECT id, 'has_icc', 'true' FROM {I} WHERE k < 3 AND (b & 4) > 0""")
 def metadata_diff(spark, sf_dir):
-    d = _kind(C.images(spark, sf_dir, False).where("id % 17 <> 5"), "jpeg", "png", "webp")
-    after = O.read_metadata(O.remove_metadata(d).select("id", "content"))
-    return O.metadata_diff(O.read_metadata(d), after, "id").groupBy("field").agg(F.count("*").alias("files"))
+    d = _kind(C.images(spark, sf_dir, False), "jpeg", "png", "webp")
+    return O.metadata_diff(O.read_metadata(d), O.remove_metadata(d, also=("read",)), "id").where("after is null").select("id", "field", "before")
 
 
 _AUDIT = """count(*) AS total_files, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed, count(*) FILTER (success AND dry_run) AS skipped, count(*) FILTER (skipped_existing) AS skipped_existing,
@@ -411,7 +452,7 @@ class Private:
 def plugin_format(spark, sf_dir):
     registry = Registry()
     registry.register("Private", Private)
-    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.concat(F.when(F.col("doc_id") % 2 == 0, "PRV1").otherwise("NONE"), C.snippet()), "utf-8").alias("content"))
+    d = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.concat(F.when(F.col("doc_id") % 2 == 0, "PRV1").otherwise("NONE"), C.letters()), "utf-8").alias("content"))
     t = O.metadata_types(d, registry=registry).select("id", "format", F.array_join("types", ";").alias("types"))
     r = O.read_metadata(d, registry=registry).select("id", F.col("metadata.image_description").alias("note"))
     return t.join(r, "id").join(O.remove_metadata(d, registry=registry).select("id", "cleaned_size"), "id")
@@ -429,17 +470,72 @@ def messages(spark, sf_dir):
     return translated(n, "key", "locale").select("n_nationkey", "text")
 
 
-@query(f"SELECT id, '&lt;' || s || '&gt; &amp; &quot;x&quot;' AS escaped FROM {I}")
+@query("""SELECT doc_id AS id, '&lt;' || replace(replace(replace(replace(coalesce(text, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '&gt; &amp; &quot;x&quot;' AS escaped FROM documents""")
 def xml_escape(spark, sf_dir):
     d = C.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), T.escape_xml(F.concat(F.lit("<"), C.snippet(), F.lit('> & "x"'))).alias("escaped"))
+    return d.select(F.col("doc_id").alias("id"), T.escape_xml(F.concat(F.lit("<"), F.coalesce("text", F.lit("")), F.lit('> & "x"'))).alias("escaped"))
 
 
-@query("SELECT k AS id, CASE k WHEN 0 THEN 'cr2' WHEN 1 THEN 'nef' WHEN 2 THEN 'arw' WHEN 3 THEN 'dng' WHEN 4 THEN 'cr3' ELSE 'unknown' END AS sub_format, CASE WHEN k < 3 THEN 'raw' WHEN k = 3 THEN 'dng' WHEN k = 4 THEN 'unknown' ELSE 'tiff' END AS format FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 6)")
+@query("SELECT id, CASE k WHEN 0 THEN 'cr2' WHEN 1 THEN 'nef' WHEN 2 THEN 'arw' WHEN 3 THEN 'dng' WHEN 4 THEN 'cr3' ELSE 'unknown' END AS sub_format, CASE WHEN k < 3 THEN 'raw' WHEN k = 3 THEN 'dng' WHEN k = 4 THEN 'unknown' ELSE 'tiff' END AS format FROM (SELECT n_nationkey AS id, n_nationkey % 6 AS k FROM nation)")
 def raw_formats(spark, sf_dir):
     from ..functions.core import put16, put32
 
     ifd = lambda tag, raw: b"MM\0*" + put32(8) + put16(1) + put16(tag) + put16(2) + put32(len(raw)) + put32(26) + put32(0) + raw
     made = {0: b"II*\0\x10\0\0\0CR\2\0" + b"\0" * 20, 1: ifd(271, b"NIKON CORP\0"), 2: ifd(271, b"SONY\0\0"), 3: ifd(0xC612, b"\1\4\0\0\0\0"), 4: samples.ftyp("crx ") + b"\0" * 8, 5: ifd(271, b"Canon\0")}
-    n = C.table(spark, sf_dir, "nation").where("n_nationkey < 6").select(F.col("n_nationkey").alias("id"), F.create_map(*(x for k, v in made.items() for x in (F.lit(k), F.lit(v))))[F.col("n_nationkey")].alias("content"))
+    n = C.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.create_map(*(x for k, v in made.items() for x in (F.lit(k), F.lit(v))))[(F.col("n_nationkey") % 6).cast("int")].alias("content"))
     return n.select("id", D.raw_sub_format().alias("sub_format"), D.detect_format().alias("format"))
+
+
+@query(f"""SELECT id, CASE k WHEN 3 THEN 'gif' WHEN 4 THEN 'svg' ELSE 'tiff' END AS format, CASE WHEN (b & 1) > 0 THEN s END AS image_description, CASE WHEN k = 4 AND (b & 2) > 0 THEN s END AS software, CASE WHEN k = 5 AND (b & 2) > 0 THEN 'Maker' END AS make,
+    CASE WHEN (b & 8) > 0 AND k < 5 THEN true END AS has_xmp FROM {I} WHERE k IN (3, 4, 5)""")
+def text_read(spark, sf_dir):
+    """Comments, titles and descriptions of the formats without EXIF blocks, whole texts in runs of 255 bytes included."""
+    m = O.read_metadata(_kind(C.images(spark, sf_dir, False), "gif", "svg", "tiff"))
+    flag = F.when(F.col("metadata.has_xmp"), True)
+    return m.select("id", "metadata.format", "metadata.image_description", "metadata.software", "metadata.make", flag.alias("has_xmp"))
+
+
+@query(f"""SELECT id, CASE k WHEN 3 THEN 'gif' WHEN 4 THEN 'svg' ELSE 'pdf' END AS format, CASE k WHEN 3 THEN 'Artist: A. Writer; Description: a <b>' WHEN 4 THEN 'a &lt;b&gt;' END AS image_description,
+    CASE WHEN k = 6 AND (b & 1) > 0 THEN trim(substr('A. Writer', 1, length(s))) END AS artist FROM {I} WHERE k IN (3, 4, 6)
+    UNION ALL SELECT c_custkey, 'mp4', trim(substr('a <b>', 1, 1 + c_custkey % 9)), NULL FROM customer""")
+def inject_elsewhere(spark, sf_dir):
+    """Fields written into GIF comments, SVG metadata, and the blanked strings of PDF and movie files."""
+    o = Options(inject={"artist": "A. Writer", "image_description": "a <b>"})
+    movies = C.made(C.table(spark, sf_dir, "customer").select("c_custkey", (1 + F.col("c_custkey") % 9).cast("int")), lambda n: samples.quicktime({"\xa9des": "x" * n}))
+    every = _kind(C.images(spark, sf_dir, False), "gif", "svg", "pdf").union(movies)
+    m = O.remove_metadata(every, o, also=("read",))
+    text = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    return m.select("id", "format", text("metadata.image_description").alias("image_description"), F.when(F.col("format") == "pdf", text("metadata.artist")).alias("artist"))
+
+
+@query(f"SELECT id, id % 3 = 0 AS thumbnail FROM {I} WHERE k = 0")
+def thumbnails(spark, sf_dir):
+    """Offsets of embedded thumbnails behind the image, in either byte order, with and without a length entry or an offset of zero."""
+    tails = {0: b"\x02\x01\0\4\0\0\0\1\0\0\0\x40\x02\x02\0\4", 1: b"\x02\x01\0\4\0\0\0\1\0\0\0\0\x02\x02\0\4", 2: b"\x02\x01\0\4\0\0\0\1\0\0\0\x40\x02\x03\0\4", 3: b"\x01\x02\4\0\1\0\0\0\x40\0\0\0\x02\x02\4\0", 4: b"", 5: b"\x01\x02\4\0\1\0\0\0\0\0\0\0\x02\x02\4\0"}
+    tail = F.create_map(*(x for k, v in tails.items() for x in (F.lit(k), F.lit(v))))[(F.col("id") % 6).cast("int")]
+    d = O.remove_metadata(_kind(C.images(spark, sf_dir, False), "jpeg")).select("id", F.concat("content", tail).alias("content"))
+    return O.verify_clean(d).select("id", F.array_contains("remaining_metadata", "Thumbnail").alias("thumbnail"))
+
+
+@query(f"SELECT id, CASE id % 3 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' ELSE 'webp' END AS format, round(sign(lat) * floor(abs(lat) * 10) / 10.0, 6) + 0.0 AS latitude, round(sign(lon) * floor(abs(lon) * 10) / 10.0, 6) + 0.0 AS longitude FROM {C.PLACES}")
+def gps_redact_formats(spark, sf_dir):
+    g = F.col("metadata.gps")
+    r = O.remove_metadata(C.places(spark, sf_dir, (F.col("event_id") % 3).cast("int")), Options(gps_redact="region"), also=("read",))
+    return r.select("id", "format", (F.round(g.latitude, 6) + 0.0).alias("latitude"), (F.round(g.longitude, 6) + 0.0).alias("longitude"))
+
+
+@query(f"SELECT id, 'raw' AS format, 'jpeg' AS output_format, '{hashlib.md5(samples.jpeg(0, '')).hexdigest()}' AS digest, (b & 2) > 0 AS exif FROM {I} WHERE k = 0")
+def raw_preview(spark, sf_dir):
+    """Raw files are replaced by their cleaned preview."""
+    d = C.table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select("doc_id", (F.col("doc_id") % 11).cast("int"), C.letters())
+    r = O.remove_metadata(C.made(d, lambda b, s: samples.raw(samples.jpeg(b, s))))
+    return r.select("id", "format", "output_format", F.md5("content").alias("digest"), F.array_contains("removed_metadata", "EXIF").alias("exif"))
+
+
+@query("SELECT CAST(o_custkey % 50 AS VARCHAR) AS \"group\", CAST(22 + sum(76 + 2 * length('o' || o_orderkey || '.txt') + length(o_orderpriority)) AS BIGINT) AS bytes, count(*) AS files FROM orders GROUP BY 1")
+def zip_archives(spark, sf_dir):
+    """Stored archives: a header of 30 and a directory entry of 46 bytes for each file, and 22 at the end."""
+    o = C.table(spark, sf_dir, "orders")
+    d = o.select((F.col("o_custkey") % 50).alias("g"), F.concat(F.lit("o"), "o_orderkey", F.lit(".txt")).alias("name"), F.encode("o_orderpriority", "utf-8").alias("content"))
+    n = d.groupBy(F.col("g").cast("string").alias("group")).agg(F.count("*").alias("files"))
+    return sinks.zip_bundle(d, "g").select("group", F.length("archive").cast("long").alias("bytes")).join(n, "group").select("group", "bytes", "files")

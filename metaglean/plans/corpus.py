@@ -19,15 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def snippet() -> Column:
-    """Up to 40 ASCII letters and spaces of the text; x if there are none."""
-    s = F.trim(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 40))
+def letters() -> Column:
+    """All ASCII letters and spaces of the text; x if there are none."""
+    s = F.trim(F.regexp_replace("text", "[^A-Za-z ]", ""))
     return F.when(F.coalesce(s, F.lit("")) == "", "x").otherwise(s)
 
 
-#: The same rule in DuckDB SQL: k kind, b bits, s snippet, broken.
-IMAGES = """(SELECT doc_id AS id, doc_id % 7 AS k, doc_id % 11 AS b, doc_id % 17 = 5 AND doc_id % 7 < 4 AS broken,
-    CASE WHEN coalesce(trim(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40)), '') = '' THEN 'x' ELSE trim(substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 40)) END AS s FROM documents)"""
+#: The same rule in DuckDB SQL: k kind, b bits, s letters, f the same or its digest if a segment can't hold it, broken.
+IMAGES = f"""(SELECT *, CASE WHEN length(s) > {samples.LONG} THEN md5(s) ELSE s END AS f FROM (SELECT doc_id AS id, doc_id % 7 AS k, doc_id % 11 AS b, doc_id % 17 = 5 AND doc_id % 7 < 4 AS broken,
+    CASE WHEN coalesce(trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')), '') = '' THEN 'x' ELSE trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) END AS s FROM documents))"""
 
 
 def made(df: DataFrame, f: Callable[..., bytes]) -> DataFrame:
@@ -46,7 +46,7 @@ def images(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
     """One of seven formats a document, with a subset of the metadata kinds; some are cut off."""
     d = table(spark, sf_dir, "documents")
     cut = (F.col("doc_id") % 17 == 5) if broken else F.lit(False)
-    return made(d.select("doc_id", (F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 11).cast("int"), snippet(), cut), samples.image)
+    return made(d.select("doc_id", (F.col("doc_id") % 7).cast("int"), (F.col("doc_id") % 11).cast("int"), letters(), cut), samples.image)
 
 
 def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +55,10 @@ def brands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made(table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 8).cast("int")), lambda k: samples.ftyp(*names[k]) + b"\0" * 8)
 
 
-def places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JPEG files with coordinates from the events."""
+def places(spark: SparkSession, sf_dir: str, kind: Column | None = None) -> DataFrame:
+    """JPEG files (or PNG and WebP, by ``kind``) with coordinates from the events."""
     e = table(spark, sf_dir, "events")
-    return made(e.select("event_id", place()[0], place()[1]), samples.located)
+    return made(e.select("event_id", place()[0], place()[1], kind if kind is not None else F.lit(0)), lambda a, o, k: samples.located(a, o, kind=k))
 
 
 def place() -> tuple[Column, Column]:
