@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaglean.llm.bpe import digests
-from metaglean.llm.common import fresh_name, stage, table
+from metaglean.llm.common import drop_stage, fresh_name, scratch, stage, table
 from metaglean.llm.decontaminate import contamination
 from metaglean.llm.near_dedup import near_duplicates
 from metaglean.llm.quality_rules import judge, measure, references
@@ -22,6 +22,8 @@ from metaglean.llm.secret_scan import redact
 
 #: SQL cannot express the BPE stage; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
+#: Ids that several rows have, as far as they are sent to every task.
+REPEATED_IDS = 100_000
 
 
 def _same(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,14 +44,26 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays, once."""
-    gone = near_duplicates(docs).where("not kept")
-    return _same(_without(docs, gone).dropDuplicates(["doc_id", "text"]), docs.columns)
+    """Of each group of near duplicates (five-word shingles) the document with the smallest id stays, once."""
+    gone = near_duplicates(docs, shingle=5).where("not kept")
+    left = _without(docs, gone)
+    # Whole rows are compared, and moved, only where an id occurs again.
+    twice = stage(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.isEmpty():
+        return _same(left, docs.columns)
+    few = twice.select(F.col("doc_id").alias("again_id"))
+    again = F.broadcast(few) if few.count() <= REPEATED_IDS else few
+    same = left["doc_id"].eqNullSafe(again["again_id"])
+    once = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return _same(once, docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold enough benchmark windows go."""
-    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    """Documents that hold a window of full length go, however long they are, and those of which 5% is in any windows.
+
+    A shorter item, which may be a common word, counts by its share only.
+    """
+    return _without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("whole or contaminated"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +83,17 @@ STAGES = [("quality_rules", quality), ("near_dedup", near_dedup), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written and read again.
+
+    What a stage has written on its way, and the result before it, are removed
+    when its own result is there.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, f in STAGES:
-        docs = stage(f(spark, docs, sf_dir), name)
+        with scratch(spark) as made:
+            docs = stage(f(spark, docs, sf_dir), name)
+            made.remove(docs.stage_path)
+        if before is not None:
+            drop_stage(before)
+        before = docs
     return docs
