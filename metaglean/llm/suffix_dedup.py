@@ -340,19 +340,24 @@ class RunLengthIndex:
         for k in range(7):
             at = np.arange(n) + k
             key = (key << U(9)) | np.where(at < stop, symbol[np.minimum(at, n - 1)], U(0))
-        ended = stop - np.arange(n) < 7
-        order = np.lexsort((np.where(ended, np.arange(n), 0), key))
-        depth = 7
-        while True:
-            k = key[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | ended[order][1:]])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new) - 1
-            if new.all():
+        order = np.argsort(key, kind="stable")  # suffixes with a terminator this near stay in the order of terminators
+        k, ended = key[order], (stop - np.arange(n) < 7)[order]
+        new, depth = np.concatenate([[True], (k[1:] != k[:-1]) | ended[1:]]), 7
+        rank, at, left = np.empty(n, np.int64), np.arange(n), order
+        while True:  # a rank is the place of the first of its equals; only what has equals is sorted on
+            heads = np.flatnonzero(new)
+            size = np.diff(np.append(heads, len(new)))
+            rank[left] = np.repeat(at[heads], size)
+            open_ = np.repeat(size > 1, size)
+            if not open_.any():
                 break
-            ended = np.zeros(n, bool)  # their ranks are single already
-            key = rank.astype(U) * U(n + 1) + np.concatenate([rank[depth:] + 1, np.zeros(min(depth, n), np.int64)])[:n].astype(U)
-            order = np.argsort(key, kind="stable")
+            at, left = at[open_], left[open_]
+            after = left + depth
+            key = rank[left].astype(U) * U(n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0).astype(U)
+            by = np.argsort(key)
+            left, key = left[by], key[by]
+            order[at] = left
+            new = np.concatenate([[True], key[1:] != key[:-1]])
             depth *= 2
         bwt = np.where(order > 0, text[order - 1], 255)
         heads = np.flatnonzero(np.concatenate([[True], (bwt[1:] != bwt[:-1]) | (bwt[1:] == 255)]))
