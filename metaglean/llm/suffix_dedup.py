@@ -60,7 +60,7 @@ BLOCK, MOST_BLOCK = 4 << 20, 64 << 20
 BLOCK_DOCS = 60_000
 #: Raw bytes of text for each bucket of context hashes (least and most), and of contexts for each index.
 BUCKET_TEXT, MOST_BUCKET_TEXT, BUCKET_INDEX = 24 << 20, 256 << 20, 2 << 20
-HOT, LOCAL_HOT = 4096, 256
+HOT, LOCAL_HOT = 4096, 1024
 PLACE = U((1 << 24) - 1)
 BLOCKS = "block long, ids array<long>, lens array<long>, data binary"
 
