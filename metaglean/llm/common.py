@@ -13,6 +13,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 _SHIPPED: set[str] = set()
@@ -101,6 +102,18 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
             remove(spark, path)
 
 
+def trim(spark: SparkSession) -> None:
+    """Has every executor collect its garbage and hand back the heap that it no longer fills.
+
+    A heap that a heavy stage has grown stays as large for a while, beside the
+    Python workers of the next one.  One task for each core reaches every
+    executor that is there; those that come later have nothing to hand back.
+    """
+    n = spark.sparkContext.defaultParallelism
+    gone = F.expr("reflect('java.lang.System', 'gc')").alias("gone")
+    spark.range(0, n, 1, n).select(gone).write.format("noop").mode("overwrite").save()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the Python workers, once per application.
 

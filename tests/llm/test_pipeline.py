@@ -56,3 +56,14 @@ def test_awkward_rows(spark, tmp_path):
             assert out.count() <= docs.count()
             if name != "bpe":
                 assert out.columns == docs.columns
+
+
+def test_stages_begin_without_the_free_heap_of_those_before(spark):
+    """Heaps that a stage has grown took the memory that the workers of the next one need."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if any(x in b.getName() for x in ("Old", "MarkSweep")))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("decontaminate", "bpe"):
+        before = full()
+        dict(P.STAGES)[name](spark, docs, SF)
+        assert full() > before, name
