@@ -14,8 +14,8 @@ windows mostly share one.  The windows of one anchor are its context.
    a block are settled there.  Where anchors meet, contexts that are equal to
    one of an earlier document are removed as a whole.
 3. Only contexts that share their anchor with a *different* one (the edges of
-   copied passages) are sent as bytes.  For each bucket of them a run-length
-   index is built: suffix order, Burrows-Wheeler runs, and at each run head the
+   copied passages) are sent as bytes, those of ``TOGETHER`` indexes in one piece
+   of each block.  For each of these parts a run-length index is built: suffix order, Burrows-Wheeler runs, and at each run head the
    sampled suffix, its predecessor and their common prefix.  Between samples the
    predecessor moves by one and the prefix shrinks by one, so the matching
    statistics of all positions stream from the r samples.  Positions whose match
@@ -60,6 +60,8 @@ BLOCK, MOST_BLOCK = 4 << 20, 64 << 20
 BLOCK_DOCS = 60_000
 #: Raw bytes of text for each bucket of context hashes (least and most), and of contexts for each index.
 BUCKET_TEXT, MOST_BUCKET_TEXT, BUCKET_INDEX = 24 << 20, 256 << 20, 2 << 20
+#: Indexes whose contexts travel together, and are built one after the other.
+TOGETHER = 16
 HOT, LOCAL_HOT = 4096, 1024
 PLACE = U((1 << 24) - 1)
 BLOCKS = "block long, ids array<long>, lens array<long>, data binary"
@@ -157,6 +159,15 @@ def _first_of(key: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_block(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each block's number and the rows that have it, in their order; time does not grow with the blocks."""
+    if not len(number):
+        return iter(())
+    by = np.argsort(number, kind="stable")
+    found, at = np.unique(number[by], return_index=True)
+    return zip(found.tolist(), np.split(by, at[1:]))
+
+
 def _six(x: np.ndarray) -> bytes:
     """The lower 48 bits of each value."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
@@ -259,18 +270,18 @@ def _settle(t: pa.Table) -> pa.Table:
             least = owner[np.flatnonzero(new_c)][group_c]
             texts = np.bincount(group_h, weights=new_c)[group_h]
             kind = np.where(owner > least, WHOLE, np.where((texts > HOT) | np.isin(h, hot), SINGLE, np.where(texts > 1, INDEX, 9))).astype("<u1")
-            for b in np.unique(number[kind != 9]):
-                x = np.flatnonzero((number == b) & (kind != 9))
-                blocks.append(int(b))
+            needed = np.flatnonzero(kind != 9)
+            for b, x in _by_block(number[needed]):
+                x = needed[x]
+                blocks.append(b)
                 out.append(_blob([first[x].astype("<i4"), n[x], kind[x]]))
     return pa.table({"block": pa.array(blocks, pa.int64()), "reply": pa.array(out, pa.binary())})
 
 
-def _sent(buckets: int):
-    """Contexts of a block that its replies ask for, by bucket of their anchor (or of their window)."""
+def _sent(indexes: int):
+    """Contexts of a block that its replies ask for, by index of their anchor (or of their window), so many indexes to a bucket."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows: dict[int, list[np.ndarray]] = {}
         number = t.column("block")[0].as_py()
         replies = [r for r in t.column("reply").to_pylist() if r is not None]
         at = [i for i, d in enumerate(t.column("data").to_pylist()) if d is not None]
@@ -294,13 +305,16 @@ def _sent(buckets: int):
                 # Of equal windows in this block only those of the first document need be compared.
                 keep = ~alone | (owner == _first_of(np.where(alone, key, mix(key ^ start.astype(U))), owner))
                 copy = np.flatnonzero(~keep)
-                bucket = ((mix(key) >> U(8)) % U(buckets)).astype(np.int64)
-                for i in np.flatnonzero(keep).tolist():
-                    rows.setdefault(int(bucket[i]), []).append(i)
+                index = ((mix(key) >> U(8)) % U(indexes)).astype(np.int64)
+                kept = np.flatnonzero(keep)
+                kept = kept[np.argsort(index[kept], kind="stable")]
+                bucket, part = index // TOGETHER, (index % TOGETHER).astype("<u1")
+                found, at = np.unique(bucket[kept], return_index=True)
+                rows = zip(found.tolist(), np.split(kept, at[1:])) if len(kept) else []
                 out = []
-                for b, x in rows.items():
+                for b, x in rows:
                     text = b"".join(data[s : e + LENGTH].tobytes() + b"\xff" for s, e in zip(start[x].tolist(), last[x].tolist()))
-                    out.append((b, number, _blob([owner[x].astype("<i8"), start[x].astype("<i4")]), zstandard.ZstdCompressor(level=1).compress(text)))
+                    out.append((b, number, _blob([owner[x].astype("<i8"), start[x].astype("<i4"), part[x]]), zstandard.ZstdCompressor(level=1).compress(text)))
                 if len(copy):
                     out.append((0, number, _blob([start[copy].astype("<i4"), np.zeros(len(copy), "<u1"), np.zeros(len(copy), "<u1")]), None))
                 return pa.table({k: pa.array(v, kind) for (k, kind), v in zip((("bucket", pa.int64()), ("block", pa.int64()), ("owners", pa.binary()), ("texts", pa.binary())), zip(*out))})
@@ -402,30 +416,37 @@ def marked(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
 
 
 def _index(t: pa.Table) -> pa.Table:
-    """For one bucket of contexts: marks of single windows, by block."""
-    blocks, out, texts, owners, places, of = [], [], [], [], [], []
+    """For the contexts of one bucket, index by index: marks of single windows, by block."""
+    blocks, out, texts, owners, places, parts, of = [], [], [], [], [], [], []
     for number, o, z in zip(t.column("block").to_pylist(), t.column("owners").to_pylist(), t.column("texts").to_pylist()):
         if z is None:
             blocks.append(number)
             out.append(o)
             continue
-        owner, start = _unblob(o, ["<i8", "<i4"])
+        owner, start, part = _unblob(o, ["<i8", "<i4", "<u1"])
         texts.append(zstandard.ZstdDecompressor().decompress(z))
         owners.append(owner)
         places.append(start.astype(np.int64))
+        parts.append(part)
         of.append(np.full(len(owner), number))
     if texts:
-        text = np.frombuffer(b"".join(texts), np.uint8)
-        owner, place, number = (np.concatenate(x) for x in (owners, places, of))
-        ends = np.flatnonzero(text == 255)
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        row = np.repeat(np.arange(len(ends)), ends - begins + 1)
-        hit = marked(text, owner[row])
-        r = row[hit]
-        start = place[r] + hit - begins[r]
-        for b in np.unique(number[r]):
-            x = np.flatnonzero(number[r] == b)
-            blocks.append(int(b))
+        every = np.frombuffer(b"".join(texts), np.uint8)
+        del texts
+        owner, place, part, number = (np.concatenate(x) for x in (owners, places, parts, of))
+        ends = np.flatnonzero(every == 255) + 1
+        begins = np.concatenate([[0], ends[:-1]])
+        numbers, starts = [], []
+        for _, own in _by_block(part):
+            sizes = ends[own] - begins[own]
+            at = np.cumsum(sizes) - sizes  # of each context in the text of its index
+            row = np.repeat(np.arange(len(own)), sizes)
+            hit = marked(every[np.repeat(begins[own] - at, sizes) + np.arange(len(row))], owner[own][row])
+            r = row[hit]
+            numbers.append(number[own[r]])
+            starts.append(place[own[r]] + hit - at[r])
+        start = np.concatenate(starts)
+        for b, x in _by_block(np.concatenate(numbers)):
+            blocks.append(b)
             out.append(_blob([start[x].astype("<i4"), np.zeros(len(x), "<u1"), np.zeros(len(x), "<u1")]))
     return pa.table({"block": pa.array(blocks, pa.int64()), "reply": pa.array(out, pa.binary())})
 

@@ -7,6 +7,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,54 @@ def test_suffix_dedup(spark, monkeypatch, hot, local):
         assert (bytes(got[i].kept), got[i].n_removed, got[i].n_spans) == (kept, n, spans), i
 
 
+def test_suffix_dedup_takes_time_in_proportion_to_windows_not_blocks():
+    """Contexts of many blocks in one bucket: rows were once searched through again for every block."""
+    blob = suffix_dedup._blob
+    n, blocks = 600_000, 6000
+    r = np.random.default_rng(3)
+    per = n // blocks
+    anchor = r.integers(0, 50_000, n).astype(np.uint64)
+    context = r.integers(0, 1 << 40, n).astype(np.uint64)
+    rows = []
+    for b in range(blocks):
+        x = slice(b * per, (b + 1) * per)
+        first = np.arange(per, dtype="<i4")
+        rest = blob([np.diff(np.arange(b * per, (b + 1) * per), prepend=0).astype("<i8"), np.diff(first, prepend=0).astype("<i4"), np.zeros(per, "<u1")])
+        rows.append((b, suffix_dedup._six(anchor[x]) + suffix_dedup._six(context[x]), rest, None))
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    t = pa.table({k: pa.array(v, kind) for k, kind, v in zip(("block", "hashes", "rest", "hot"), kinds, zip(*rows))})
+    began = time.process_time()
+    by = dict(zip(*(c.to_pylist() for c in suffix_dedup._settle(t).columns)))
+    took = time.process_time() - began
+    began = time.process_time()
+    for _ in range(3):
+        np.lexsort((np.arange(n), context, anchor))
+    assert took < 10 * (time.process_time() - began)
+    alone = np.bincount(anchor.astype(int))[anchor.astype(int)] == 1
+    want = {b: np.flatnonzero(~alone[b * per : (b + 1) * per]).tolist() for b in range(blocks)}
+    assert {b: sorted(suffix_dedup._unblob(z, suffix_dedup.REPLY)[0].tolist()) for b, z in by.items()} == {b: v for b, v in want.items() if v}
+
+
+@pytest.mark.parametrize("indexes", [1, 5, 40])
+def test_suffix_dedup_indexes_travel_together(indexes):
+    """A block sends one piece for each TOGETHER indexes, whatever their number."""
+    r = random.Random(indexes)
+    words = ["".join(r.choices("abcd", k=5)) for _ in range(40)]
+    data = " ".join(r.choices(words, k=4000)).encode()
+    offsets = np.array([0, len(data) // 2, len(data)])
+    starts = np.arange(0, len(data) // 2 - 60, 7)
+    starts = np.concatenate([starts, starts + len(data) // 2])
+    reply = suffix_dedup._blob([starts.astype("<i4"), np.zeros(len(starts), "<u1"), np.full(len(starts), suffix_dedup.SINGLE, "<u1")])
+    import zstandard
+
+    t = pa.table({"block": pa.array([7, 7], pa.int64()), "ids": pa.array([[1, 2], None], pa.list_(pa.int64())), "lens": pa.array([np.diff(offsets).tolist(), None], pa.list_(pa.int64())), "data": pa.array([zstandard.ZstdCompressor().compress(data), None], pa.binary()), "reply": pa.array([None, reply], pa.binary())})
+    sent = [x for x in suffix_dedup._sent(indexes)(t).to_pylist() if x["texts"] is not None]
+    assert len(sent) == -(-indexes // suffix_dedup.TOGETHER) and len({x["bucket"] for x in sent}) == len(sent)
+    places = sorted(p for x in sent for p in suffix_dedup._unblob(x["owners"], ["<i8", "<i4", "<u1"])[1].tolist())
+    assert len(places) == len(set(places)) and set(places) <= set(starts.tolist())
+    assert {data[p : p + 50] for p in places} == {data[p : p + 50] for p in starts.tolist()}
+
+
 def test_run_length_index_streams_matching_statistics():
     text = np.frombuffer(b"banana bandana\xffbandana banana\xff", np.uint8)
     index = suffix_dedup.RunLengthIndex(text)
