@@ -13,9 +13,14 @@ windows mostly share one.  The windows of one anchor are its context.
 2. Every context travels as two 48-bit hashes (anchor, context); copies inside
    a block are settled there.  Where anchors meet, contexts that are equal to
    one of an earlier document are removed as a whole.
-3. Only contexts that share their anchor with a *different* one (the edges of
+3. An anchor alone meets by chance, the more often the larger the corpus.  A
+   window reaches ``SIDE`` bytes past its anchor to the left or to the right, so
+   of contexts that share an anchor only those can have a window in common that
+   also share the bytes of one of these sides (two 16-bit hashes).
+   Only contexts that share a side with a *different* one (the edges of
    copied passages) are sent as bytes, those of ``TOGETHER`` indexes in one piece
-   of each block.  For each of these parts a run-length index is built: suffix order, Burrows-Wheeler runs, and at each run head the
+   of each block.  For each of these parts a run-length index is built over the
+   stretches whose windows have a hash that another document's window has too: suffix order, Burrows-Wheeler runs, and at each run head the
    sampled suffix, its predecessor and their common prefix.  Between samples the
    predecessor moves by one and the prefix shrinks by one, so the matching
    statistics of all positions stream from the r samples.  Positions whose match
@@ -55,6 +60,7 @@ from .common import ship, stage
 from .textvec import CHUNK, U, mix, powers, prefix_sums, span_hash, string_bytes
 
 LENGTH, GRAM = 50, 20
+SIDE = (LENGTH - GRAM) // 2
 #: Least and most bytes of a block, and documents for each of the least bytes.
 BLOCK, MOST_BLOCK = 4 << 20, 64 << 20
 BLOCK_DOCS = 60_000
@@ -62,7 +68,7 @@ BLOCK_DOCS = 60_000
 BUCKET_TEXT, MOST_BUCKET_TEXT, BUCKET_INDEX = 24 << 20, 256 << 20, 2 << 20
 #: Indexes whose contexts travel together, and are built one after the other.
 TOGETHER = 16
-HOT, LOCAL_HOT = 4096, 1024
+HOT, LOCAL_HOT = 16384, 1024
 PLACE = U((1 << 24) - 1)
 BLOCKS = "block long, ids array<long>, lens array<long>, data binary"
 
@@ -118,7 +124,7 @@ def _pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, ...]:
-    """anchor hash, context hash, document, first window, last window of every context."""
+    """anchor hash, context hash, document, first window, last window, left side, right side (0: no window reaches it) of every context."""
     out = []
     for a, b in _pieces(offsets):
         part = data[a:b]
@@ -142,10 +148,15 @@ def contexts(data: np.ndarray, offsets: np.ndarray, skip: np.ndarray) -> tuple[n
         new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
         first, last, at = starts[new], starts[np.append(new[1:], len(starts)) - 1], place[new]
         c = mix(span_hash(sums, first, last + LENGTH) + (at - first).astype(U) * U(0x9E3779B97F4A7C15))
-        out.append((grams[at], c, doc[first], first + a, last + a))
+        wide = [np.flatnonzero(at - first >= SIDE), np.flatnonzero(last + LENGTH - at - GRAM >= SIDE)]
+        sides = [np.zeros(len(at), "<u2"), np.zeros(len(at), "<u2")]
+        for side, x, back in zip(sides, wide, (SIDE, 0)):
+            begin = at[x] - back
+            side[x] = span_hash(sums, begin, begin + SIDE + GRAM) % U(65535) + U(1)
+        out.append((grams[at], c, doc[first], first + a, last + a, *sides))
     if not out:
         z = np.zeros(0, np.int64)
-        return z.astype(U), z.astype(U), z, z, z
+        return z.astype(U), z.astype(U), z, z, z, z.astype("<u2"), z.astype("<u2")
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -199,13 +210,13 @@ WHOLE, INDEX, SINGLE = 0, 1, 2
 
 
 def anchors(blocks: DataFrame, buckets: int) -> DataFrame:
-    """bucket, block, hashes, rest, hot: the contexts of each block by bucket, and the anchors that are hot in it; what needs no other block has no hashes."""
+    """bucket, block, hashes, rest, sides, hot: the contexts of each block by bucket, and the anchors that are hot in it; what needs no other block has no hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, ids, lens, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 data, offsets, doc_ids, null = _unpacked(ids, lens, packed)
-                h, c, doc, first, last = contexts(data, offsets, null)
+                h, c, doc, first, last, left, right = contexts(data, offsets, null)
                 if not len(h):
                     continue
                 owner = doc_ids[doc]
@@ -217,26 +228,41 @@ def anchors(blocks: DataFrame, buckets: int) -> DataFrame:
                 single, own = own[often[which] > LOCAL_HOT], own[often[which] <= LOCAL_HOT]
                 for x, kind in ((again, WHOLE), (single, SINGLE)):
                     if len(x):
-                        rows.append((number % buckets, number, None, _blob([first[x].astype("<i4"), (last - first)[x].astype("<u1"), np.full(len(x), kind, "<u1")]), None))
+                        rows.append((number % buckets, number, None, _blob([first[x].astype("<i4"), (last - first)[x].astype("<u1"), np.full(len(x), kind, "<u1")]), None, None))
                 bucket = ((h[own] >> U(24)) % U(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 found, at = np.unique(bucket[order], return_index=True)
                 for b, x in zip(found.tolist(), np.split(own[order], at[1:])):
                     rest = _blob([np.diff(owner[x], prepend=0).astype("<i8"), np.diff(first[x], prepend=0).astype("<i4"), (last - first)[x].astype("<u1")])
-                    rows.append((b, number, _six(h[x] >> U(16)) + _six(c[x] >> U(16)), rest, None))
+                    rows.append((b, number, _six(h[x] >> U(16)) + _six(c[x] >> U(16)), rest, left[x].tobytes() + right[x].tobytes(), None))
                 for x in hot.tolist():
-                    rows.append(((x >> 24) % buckets, number, None, None, _six(np.array([x >> 16], U))))
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["bucket", "block", "hashes", "rest", "hot"])
-
-    return blocks.mapInArrow(run, "bucket long, block long, hashes binary, rest binary, hot binary")
+                    rows.append(((x >> 24) % buckets, number, None, None, None, _six(np.array([x >> 16], U))))
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["bucket", "block", "hashes", "rest", "sides", "hot"])
+
+    return blocks.mapInArrow(run, "bucket long, block long, hashes binary, rest binary, sides binary, hot binary")
+
+
+def _shared(group: np.ndarray, sides: np.ndarray) -> np.ndarray:
+    """Which of these different contexts share a side with another of their group (an anchor); without sides, all."""
+    if not len(sides):
+        return np.ones(len(group), bool)
+    out = np.zeros(len(group), bool)
+    for side in sides:
+        at = np.flatnonzero(side)
+        key = group[at].astype(np.int64) << 16 | side[at]
+        by = np.argsort(key, kind="stable")
+        same = key[by][1:] == key[by][:-1]
+        out[at[by[1:][same]]] = out[at[by[:-1][same]]] = True
+    return out
 
 
 def _settle(t: pa.Table) -> pa.Table:
     """For one bucket: which contexts go as a whole, and which must be compared as bytes."""
     blocks, out = [], []
-    hs, cs, owners, firsts, ns, of = [], [], [], [], [], []
-    for number, hashes, rest in zip(t.column("block").to_pylist(), t.column("hashes").to_pylist(), t.column("rest").to_pylist()):
+    hs, cs, owners, firsts, ns, of, sides = [], [], [], [], [], [], []
+    known = t.column("sides").to_pylist() if "sides" in t.column_names else [None] * t.num_rows
+    for number, hashes, rest, side in zip(t.column("block").to_pylist(), t.column("hashes").to_pylist(), t.column("rest").to_pylist(), known):
         if hashes is None:
             if rest is not None:
                 blocks.append(number)
@@ -250,8 +276,11 @@ def _settle(t: pa.Table) -> pa.Table:
         firsts.append(np.cumsum(first.astype(np.int64)))
         ns.append(n)
         of.append(np.full(k, number))
+        if side is not None:
+            sides.append(np.frombuffer(side, "<u2").reshape(2, k))
     if hs:
         h, c, owner, first, n, number = (np.concatenate(x) for x in (hs, cs, owners, firsts, ns, of))
+        sides = np.concatenate(sides, axis=1) if sides else np.zeros((0, len(h)), "<u2")
         by = np.argsort(h, kind="stable")
         s = h[by]
         head = np.concatenate([[True], s[1:] != s[:-1]])
@@ -260,16 +289,19 @@ def _settle(t: pa.Table) -> pa.Table:
         is_hot = np.isin(s[head], _from_six(marks, len(marks) // 6))
         by = by[np.repeat((size > 1) | is_hot, size)]  # an anchor that occurs once matches nothing
         hot = s[head][is_hot]
-        h, c, owner, first, n, number = (x[by] for x in (h, c, owner, first, n, number))
+        h, c, owner, first, n, number, sides = (x[..., by] for x in (h, c, owner, first, n, number, sides))
         by = np.lexsort((owner, c, h))
-        h, c, owner, first, n, number = (x[by] for x in (h, c, owner, first, n, number))
+        h, c, owner, first, n, number, sides = (x[..., by] for x in (h, c, owner, first, n, number, sides))
         if len(h):
             new_h = np.concatenate([[True], h[1:] != h[:-1]])
             new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
             group_h, group_c = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
             least = owner[np.flatnonzero(new_c)][group_c]
-            texts = np.bincount(group_h, weights=new_c)[group_h]
-            kind = np.where(owner > least, WHOLE, np.where((texts > HOT) | np.isin(h, hot), SINGLE, np.where(texts > 1, INDEX, 9))).astype("<u1")
+            one = np.flatnonzero(new_c)  # of each of the different contexts
+            shared = _shared(group_h[one], sides[:, one])
+            texts = np.bincount(group_h[one], weights=shared, minlength=group_h[-1] + 1)[group_h]
+            left = np.where(shared[group_c] & (texts > 1), np.where(texts > HOT, SINGLE, INDEX), 9)
+            kind = np.where(owner > least, WHOLE, np.where(np.isin(h, hot), SINGLE, left)).astype("<u1")
             needed = np.flatnonzero(kind != 9)
             for b, x in _by_block(number[needed]):
                 x = needed[x]
@@ -415,9 +447,26 @@ def marked(text: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return members[owner[members] > least[root[members]]]
 
 
+def stretches(text: np.ndarray, begins: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts (each ends in 0xFF) number, begin and end of what an index has to compare: windows that by their hashes another owner has too."""
+    n = np.maximum(ends - begins - LENGTH, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(len(row))
+    h = span_hash(prefix_sums(text), at, at + LENGTH)
+    by = np.argsort(h)
+    head = np.flatnonzero(np.concatenate([[True], h[by[1:]] != h[by[:-1]]])) if len(h) else np.zeros(0, np.int64)
+    o = owner[row[by]]
+    mixed = np.minimum.reduceat(o, head) != np.maximum.reduceat(o, head) if len(h) else np.zeros(0, bool)
+    x = np.sort(by[np.repeat(mixed, np.diff(np.append(head, len(h))))])
+    new = np.concatenate([[True], (np.diff(x) != 1) | (np.diff(row[x]) != 0)]) if len(x) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(x)) - 1 if len(x) else first
+    return row[x[first]], at[x[first]], at[x[last]] + LENGTH
+
+
 def _index(t: pa.Table) -> pa.Table:
     """For the contexts of one bucket, index by index: marks of single windows, by block."""
-    blocks, out, texts, owners, places, parts, of = [], [], [], [], [], [], []
+    blocks, out, texts, owners, places, parts, blocked = [], [], [], [], [], [], []
     for number, o, z in zip(t.column("block").to_pylist(), t.column("owners").to_pylist(), t.column("texts").to_pylist()):
         if z is None:
             blocks.append(number)
@@ -428,24 +477,32 @@ def _index(t: pa.Table) -> pa.Table:
         owners.append(owner)
         places.append(start.astype(np.int64))
         parts.append(part)
-        of.append(np.full(len(owner), number))
+        blocked.append(np.full(len(owner), number))
     if texts:
         every = np.frombuffer(b"".join(texts), np.uint8)
         del texts
-        owner, place, part, number = (np.concatenate(x) for x in (owners, places, parts, of))
+        owner, place, part, number = (np.concatenate(x) for x in (owners, places, parts, blocked))
         ends = np.flatnonzero(every == 255) + 1
         begins = np.concatenate([[0], ends[:-1]])
         numbers, starts = [], []
         for _, own in _by_block(part):
             sizes = ends[own] - begins[own]
             at = np.cumsum(sizes) - sizes  # of each context in the text of its index
-            row = np.repeat(np.arange(len(own)), sizes)
-            hit = marked(every[np.repeat(begins[own] - at, sizes) + np.arange(len(row))], owner[own][row])
+            text = every[np.repeat(begins[own] - at, sizes) + np.arange(sizes.sum())]
+            of, a, b = stretches(text, at, at + sizes, owner[own])
+            if not len(of):
+                continue
+            sizes = b - a + 1
+            to = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(of)), sizes)
+            text = text[np.minimum(np.repeat(a - to, sizes) + np.arange(len(row)), len(text) - 1)]
+            text[to + sizes - 1] = 255
+            hit = marked(text, owner[own[of]][row])
             r = row[hit]
-            numbers.append(number[own[r]])
-            starts.append(place[own[r]] + hit - at[r])
-        start = np.concatenate(starts)
-        for b, x in _by_block(np.concatenate(numbers)):
+            numbers.append(number[own[of[r]]])
+            starts.append(place[own[of[r]]] + a[r] - at[of[r]] + hit - to[r])
+        start = np.concatenate([np.zeros(0, np.int64), *starts])
+        for b, x in _by_block(np.concatenate([np.zeros(0, np.int64), *numbers])):
             blocks.append(b)
             out.append(_blob([start[x].astype("<i4"), np.zeros(len(x), "<u1"), np.zeros(len(x), "<u1")]))
     return pa.table({"block": pa.array(blocks, pa.int64()), "reply": pa.array(out, pa.binary())})

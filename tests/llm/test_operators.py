@@ -182,6 +182,32 @@ def test_suffix_dedup_indexes_travel_together(indexes):
     assert {data[p : p + 50] for p in places} == {data[p : p + 50] for p in starts.tolist()}
 
 
+def test_suffix_dedup_compares_only_what_can_match(monkeypatch):
+    """Contexts that share an anchor by chance are not sent; of those sent, only stretches with equal windows are indexed."""
+    r = random.Random(8)
+    anchor = b"a" * 20
+    text = lambda n: "".join(r.choices("bcdefghij", k=n)).encode()
+    near = [text(30) + anchor + text(30) for _ in range(400)]
+    group, sides = np.zeros(402, np.int64), np.zeros((2, 402), "<u2")
+    sides[0], sides[1] = np.arange(1, 403), np.arange(1, 403)
+    assert not suffix_dedup._shared(group, sides).any()
+    sides[0, 401] = sides[0, 400]
+    assert np.flatnonzero(suffix_dedup._shared(group, sides)).tolist() == [400, 401]
+    assert not suffix_dedup._shared(np.arange(402), sides).any() and suffix_dedup._shared(group, sides[:0]).all()
+
+    indexed = []
+    monkeypatch.setattr(suffix_dedup, "marked", lambda t, o, f=suffix_dedup.marked: indexed.append(len(t)) or f(t, o))
+    same = text(60)
+    texts = [*near, text(10) + same + text(3), text(1) + same + text(7)]
+    piece = lambda a, b: (1, suffix_dedup._blob([np.arange(a, b).astype("<i8"), (100 * np.arange(a, b)).astype("<i4"), np.zeros(b - a, "<u1")]), suffix_dedup.zstandard.compress(b"".join(x + b"\xff" for x in texts[a:b])))
+    rows = [(k, *piece(a, b)[1:]) for k, (a, b) in enumerate(((0, 401), (401, 402)))]
+    t = pa.table({c: pa.array([x[i] for x in rows], kind) for i, (c, kind) in enumerate((("block", pa.int64()), ("owners", pa.binary()), ("texts", pa.binary())))})
+    out = suffix_dedup._index(t).to_pylist()
+    assert [x["block"] for x in out] == [1]
+    assert suffix_dedup._unblob(out[0]["reply"], suffix_dedup.REPLY)[0].tolist() == [40101 + k for k in range(11)]
+    assert indexed == [2 * 61]
+
+
 def test_run_length_index_streams_matching_statistics():
     text = np.frombuffer(b"banana bandana\xffbandana banana\xff", np.uint8)
     index = suffix_dedup.RunLengthIndex(text)
