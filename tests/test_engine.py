@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import re
 import subprocess
 import sys
 import time
@@ -17,7 +18,7 @@ from metaglean.functions.core import Options
 from metaglean.functions.detect import detect
 from metaglean.functions.messages import locales, message
 from metaglean.operators import audit, detect as D, files as O
-from metaglean.plans import batch, catalogue, options
+from metaglean.plans import batch, catalogue, corpus as C, options
 from metaglean.sources import files as sources, sinks
 from metaglean.streaming import watch
 
@@ -192,6 +193,23 @@ def test_sinks(spark, tmp_path):
     assert sinks.json_line(spark.createDataFrame([(1, None)], "a int, b string")).first().json == '{"a":1,"b":null}'
 
 
+def test_small_tables_of_many_rows_are_spread(spark, tmp_path):
+    """One row group of narrow rows was one task, however many files were made of it."""
+    one = spark.range(0, 50_001, 1, 1).select(F.col("id").alias("event_id"))
+    one.write.parquet(f"{tmp_path}/events.parquet")
+    assert C.table(spark, str(tmp_path), "events").rdd.getNumPartitions() == 1
+    assert C.places(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    assert C.spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == 1
+
+
+def test_letters_of_texts(spark):
+    texts = [None, "", "  ", "é1\n", " Ab\u00a0c d\tE  ", "\U0001f600Z[`{@", "x" * 9, "\x00a\x7f b\r"]
+    want = [re.sub("[^A-Za-z ]", "", t or "").strip(" ") or "x" for t in texts]
+    assert [C.letters(None if t is None else t.encode()) for t in texts] == want
+    plan = C.images(spark, SF)._jdf.queryExecution().toString()
+    assert "regexp_replace" not in plan and "MapInArrow" in plan
+
+
 def test_zip_of_more_files_than_its_end_can_count():
     """As many bytes as the SQL of zip_archives says, and every file can be read."""
     files = [(f"o{i}.txt", b"x" * (i % 3)) for i in range(70_000)]
