@@ -99,42 +99,52 @@ def _metadata(d: bytes, registry: Registry | None) -> tuple[dict, list[str]]:
     return m, warnings
 
 
-def read_metadata(df: DataFrame, content: str = "content", registry: Registry | None = None) -> DataFrame:
-    """metadata (a struct), file_size and warnings."""
+def _types(d: bytes, registry: Registry | None) -> list[str] | None:
+    try:
+        return scrub.types(d, registry)
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def read_metadata(df: DataFrame, content: str = "content", registry: Registry | None = None, types: bool = False) -> DataFrame:
+    """metadata (a struct), file_size and warnings; also types, the kinds of metadata, if asked for."""
 
     def f(d: bytes) -> list[dict]:
         m, warnings = _metadata(d, registry)
-        return [{"metadata": m, "file_size": len(d), "warnings": warnings}]
+        return [{"metadata": m, "file_size": len(d), "warnings": warnings} | ({"types": _types(d, registry)} if types else {})]
 
-    return _mapped(df, content, f"metadata {METADATA}, file_size bigint, warnings array<string>", f, True)
+    return _mapped(df, content, f"metadata {METADATA}, file_size bigint, warnings array<string>" + (", types array<string>" if types else ""), f, True)
 
 
 REMOVED = "content binary, format string, original_size bigint, cleaned_size bigint, removed_metadata array<string>, remaining_metadata array<string>, output_format string, warnings array<string>"
 
 
-CHECKED = {"verify": "clean boolean, confidence string", "read": f"metadata {METADATA}"}
+CHECKED = {"verify": "clean boolean, confidence string", "read": f"metadata {METADATA}", "types": "types array<string>", "before": f"before {METADATA}"}
 
 
 def remove_metadata(df: DataFrame, options: Options | None = None, content: str = "content", registry: Registry | None = None, dry_run: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """The cleaned files with what was removed, and what is still listed after it.
 
     ``also`` checks the cleaned file in the same pass: "verify" adds clean and
-    confidence, "read" what metadata can still be read.
+    confidence, "read" what metadata can still be read.  Of the file as it was,
+    "types" adds the kinds of metadata, "before" the metadata themselves.
     """
     o = options or Options()
 
     def f(d: bytes) -> list[dict]:
+        first = {"types": _types(d, registry)} if "types" in also else {}
+        if "before" in also:
+            first["before"] = _metadata(d, registry)[0]
+        return [first | row for row in cleaned(d)]
+
+    def cleaned(d: bytes) -> list[dict]:
         if dry_run:
             return [{"content": None, "format": detect(d, registry), "original_size": len(d), "cleaned_size": len(d), "removed_metadata": [], **NO_ERROR}]
         try:
             r = scrub.remove(d, o, registry)
         except Exception as e:  # noqa: BLE001
             return [{"format": detect(d, registry), "original_size": len(d), **_error(e)}]
-        try:
-            left = scrub.types(r.content, registry)
-        except Exception:  # noqa: BLE001
-            left = None
-        more = {}
+        left, more = _types(r.content, registry), {}
         if "verify" in also:
             v = scrub.verify(r.content, registry)
             more |= {"clean": v["clean"], "confidence": v["confidence"]}
@@ -214,9 +224,14 @@ def inspect_text(metadata: str = "metadata", size: str = "file_size") -> Column:
 
 def metadata_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """key, field, before, after: fields whose values differ, nested ones by their full name, in the order of their names."""
+    both = before.select(key, F.col("metadata").alias("a")).join(after.select(key, F.col("metadata").alias("b")), key, "full_outer")
+    return metadata_changes(both, key, "a", "b")
+
+
+def metadata_changes(df: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """The same between two metadata columns of one row."""
     names = [*TEXTS, "orientation", "has_xmp", "has_icc", "has_iptc", "has_thumbnail"]
     names += [f"{group}.{x.split(':')[0].strip()}" for group, spec in (("exif", EXIF), ("gps", GPS)) for x in spec.split(",")]
-    both = before.select(key, F.col("metadata").alias("a")).join(after.select(key, F.col("metadata").alias("b")), key, "full_outer")
     value = lambda side, n: F.col(f"{side}.{n}").cast("string")
-    rows = F.array(*(F.struct(F.lit(n).alias("field"), value("a", n).alias("before"), value("b", n).alias("after")) for n in sorted(names)))
-    return both.select(key, F.explode(F.filter(rows, lambda x: ~x.before.eqNullSafe(x.after))).alias("x")).select(key, "x.*")
+    rows = F.array(*(F.struct(F.lit(n).alias("field"), value(a, n).alias("before"), value(b, n).alias("after")) for n in sorted(names)))
+    return df.select(key, F.explode(F.filter(rows, lambda x: ~x.before.eqNullSafe(x.after))).alias("x")).select(key, "x.*")

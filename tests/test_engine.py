@@ -210,6 +210,13 @@ def test_letters_of_texts(spark):
     assert "regexp_replace" not in plan and "MapInArrow" in plan
 
 
+@pytest.mark.parametrize("name", ["plugin_format", "metadata_diff", "ifd_entries", "heic_types", "movie_metadata"])
+def test_files_are_made_and_read_once(spark, name):
+    """Made and read again for each of their answers, files were joined by id afterwards."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInArrow ") == 2
+
+
 def test_zip_of_more_files_than_its_end_can_count():
     """As many bytes as the SQL of zip_archives says, and every file can be read."""
     files = [(f"o{i}.txt", b"x" * (i % 3)) for i in range(70_000)]
